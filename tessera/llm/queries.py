@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, near_dedup
+from tessera.llm import exact_dedup, near_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -22,11 +26,28 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": """
+        WITH words AS (
+            SELECT row_number() OVER () AS doc, doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\v\\f\\r]+'), lambda w: w <> '') AS w
+            FROM documents WHERE text IS NOT NULL),
+        suffixes AS (
+            SELECT doc, doc_id, w, unnest(range(len(w) - 49)) AS p FROM words WHERE len(w) >= 50),
+        prefixes AS (
+            SELECT doc, doc_id, p, array_to_string(w[p + 1 : p + 50], ' ') AS s FROM suffixes),
+        ties AS (
+            SELECT doc, doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY s) AS n FROM prefixes) AS c WHERE n > 1),
+        steps AS (
+            SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM ties),
+        groups AS (
+            SELECT *, sum(fresh) OVER (PARTITION BY doc ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM steps)
+        SELECT doc_id, CAST(min(p) AS BIGINT) AS start_word, CAST(max(p) + 50 AS BIGINT) AS end_word
+        FROM groups GROUP BY doc, doc_id, g""",
     "op5_exact_dedup": """
         SELECT doc_id, kept_doc_id FROM (
             SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept_doc_id,
