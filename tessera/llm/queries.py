@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, language, mixing, near_dedup, quality, suffix_dedup
+from tessera.llm import exact_dedup, language, mixing, mtree, near_dedup, pieces, quality, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.selectExpr("doc_id", "source", "__shard AS shard", "__position AS position")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(_table(spark, sf_dir, "documents"), pieces.load())
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.nearest(_table(spark, sf_dir, "embeddings"), k=10)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +54,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_exact_topk": op4_exact_topk,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op9_language_id": op9_language_id,
@@ -69,6 +79,14 @@ ORACLES: dict[str, str] = {
             SELECT *, sum(fresh) OVER (PARTITION BY doc ORDER BY p ROWS UNBOUNDED PRECEDING) AS g FROM steps)
         SELECT doc_id, CAST(min(p) AS BIGINT) AS start_word, CAST(max(p) + 50 AS BIGINT) AS end_word
         FROM groups GROUP BY doc, doc_id, g""",
+    "op4_exact_topk": """
+        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+        pairs AS (
+            SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_distance(a.e, b.e), 6) AS distance
+            FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id),
+        ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM pairs)
+        SELECT vec_id, neighbor_id, rank, distance FROM ranked WHERE rank <= 10""",
     "op5_exact_dedup": """
         SELECT doc_id, kept_doc_id FROM (
             SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept_doc_id,
