@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, language, mixing, mtree, near_dedup, pieces, quality, suffix_dedup
+from tessera.llm import exact_dedup, html_extract, language, mixing, mtree, near_dedup, pieces, quality, secrets, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,15 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.round("__score", 6).alias("score"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_extract.extracted(pages, html_extract.train(pages))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"), secrets.train())
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
@@ -58,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_topk": op4_exact_topk,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_html_extraction": op7_html_extraction,
+    "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_near_dedup": op10_near_dedup,
 }
