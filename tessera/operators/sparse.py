@@ -118,7 +118,8 @@ def retrieve(queries: DataFrame, posts: DataFrame, lens: DataFrame, stats: DataF
 
     strict = ask(queries, False)
     rest = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti")
-    hits = top(strict.unionByName(ask(rest, True)), "score").select("query_id", "chunk_id", "rank", F.col("score").alias("sparse_score"))
+    # sums differ in their last digits by the order of their terms, which must not break ties
+    hits = top(strict.unionByName(ask(rest, True)), "score", digits=9).select("query_id", "chunk_id", "rank", F.col("score").alias("sparse_score"))
     if sources is not None:
         hits = hits.join(chunk_sources.filter(F.col("source_id").isin(*sources)).select("chunk_id"), "chunk_id", "left_semi")
     return hits
