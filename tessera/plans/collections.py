@@ -68,8 +68,8 @@ class Catalog:
         old = self.table(name)
         self._put(name, old.join(rows.select(*KEYS[name]), KEYS[name], "left_anti").select(*old.columns).unionByName(rows.select(*old.columns)))
 
-    def _row(self, name: str, **values: object) -> DataFrame:
-        return self.spark.createDataFrame([tuple(values.get(c.split()[0]) for c in SCHEMAS[name].split(", "))], SCHEMAS[name])
+    def _row(self, table: str, **values: object) -> DataFrame:
+        return self.spark.createDataFrame([tuple(values.get(c.split()[0]) for c in SCHEMAS[table].split(", "))], SCHEMAS[table])
 
     # collections and sources
 

@@ -7,7 +7,6 @@ can't be fetched or parsed keep their old rows, and the others go live together.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
