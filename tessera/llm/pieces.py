@@ -35,8 +35,8 @@ from tessera.llm import textkit as tk
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CACHE_WORDS = 1 << 20
-_BATCH = 1 << 15
-SLICE = 1 << 22
+_BATCH = 1 << 14
+_WAIT = 1 << 16
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -287,50 +287,93 @@ def encode_words(model: PieceModel, codes: np.ndarray, lengths: np.ndarray) -> t
 
 
 class Encoder:
-    """Encodes slices of texts; a bounded store keeps the ids of words already met."""
+    """Encodes slices of texts; a bounded store keeps the ids of words already met.
+
+    ``learn`` collects the new words of many small slices, so that the Viterbi gets them
+    in large batches while memory stays at that of a slice.
+    """
 
     def __init__(self, model: PieceModel):
         self.model = model
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.names = np.zeros(0, np.uint64)  # sorted hashes of the words met
+        self.slots = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
         self.offset = np.zeros(1, np.int64)
+        self._wait()
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids before each row) of a slice."""
+    def _wait(self) -> None:
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.asked: set[int] = set()
+
+    def _slots(self, names: np.ndarray) -> np.ndarray:
+        """The slot of each word, or -1."""
+        return _find(self.names, self.slots, names)
+
+    @staticmethod
+    def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes with a space before each text that isn't empty, row offsets, begin and end of each word)."""
         n = np.diff(offsets)
-        # a space goes before each text that isn't empty
-        full = np.flatnonzero(n > 0)
-        grown = np.insert(data, offsets[full], np.uint8(32))
+        grown = np.insert(data, offsets[np.flatnonzero(n > 0)], np.uint8(32))
         offsets = np.r_[0, np.cumsum(n + (n > 0))]
         space = grown == 32
         start = space.copy()
         start[1:] &= ~space[:-1]
         start[offsets[:-1][n > 0]] = True
         begin = np.flatnonzero(start)
-        end = np.r_[begin[1:], len(grown)].astype(np.int64)
+        return grown, offsets, begin, np.r_[begin[1:], len(grown)].astype(np.int64)[: len(begin)]
+
+    def learn(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        grown, _, begin, end = self._words(data, offsets)
         if not len(begin):
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        name = tk.span_hashes(grown, begin, end)
-        distinct, first, where = np.unique(name, return_index=True, return_inverse=True)
-        if len(self.slot) + len(distinct) > CACHE_WORDS:
+            return
+        if len(self.names) > CACHE_WORDS:
             self._clear()
-        slots = np.array([self.slot.get(x, -1) for x in distinct.tolist()], np.int64)
+        distinct, first = np.unique(tk.span_hashes(grown, begin, end), return_index=True)
+        new = np.flatnonzero(self._slots(distinct) < 0)
+        new = new[[x not in self.asked for x in distinct[new].tolist()]] if len(new) else new
+        if len(new):
+            self._ask(distinct[new], grown, begin[first[new]], end[first[new]])
+        if len(self.asked) > _WAIT:
+            self.settle()
+
+    def _ask(self, names: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        size = end - begin
+        self.waiting.append((names, size, data[np.repeat(begin, size) + tk.ranges(size)]))
+        self.asked.update(names.tolist())
+
+    def settle(self) -> None:
+        """Encodes the words that wait."""
+        if not self.waiting:
+            return
+        names, size, raw = (np.concatenate(x) for x in zip(*self.waiting))
+        lead = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+        codes = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+        codes = np.where(codes == 32, np.uint32(ord(MARK)), codes)
+        ids, count = encode_words(self.model, codes, np.diff(lead[np.r_[0, np.cumsum(size)]]))
+        made = np.arange(len(self.offset) - 1, len(self.offset) - 1 + len(names), dtype=np.int32)
+        every = np.r_[self.names, names]
+        order = np.argsort(every)
+        self.names, self.slots = every[order], np.r_[self.slots, made][order]
+        self.offset = np.r_[self.offset, self.offset[-1] + np.cumsum(count)]
+        self.flat = np.r_[self.flat, ids.astype(np.int32)]
+        self._wait()
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids before each row) of a slice."""
+        grown, offsets, begin, end = self._words(data, offsets)
+        if not len(begin):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        self.settle()
+        distinct, first, where = np.unique(tk.span_hashes(grown, begin, end), return_index=True, return_inverse=True)
+        slots = self._slots(distinct)
         new = np.flatnonzero(slots < 0)
         if len(new):
-            b, e = begin[first[new]], end[first[new]]
-            raw = grown[np.repeat(b, e - b) + tk.ranges(e - b)]
-            lead = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
-            cut = np.r_[0, np.cumsum(e - b)]
-            codes = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
-            codes = np.where(codes == 32, np.uint32(ord(MARK)), codes)
-            ids, count = encode_words(self.model, codes, np.diff(lead[cut]))
-            slots[new] = len(self.offset) - 1 + np.arange(len(new))
-            self.slot.update(zip(distinct[new].tolist(), slots[new].tolist()))
-            self.offset = np.r_[self.offset, self.offset[-1] + np.cumsum(count)]
-            self.flat = np.r_[self.flat, ids.astype(np.int32)]
+            self._ask(distinct[new], grown, begin[first[new]], end[first[new]])
+            self.settle()
+            slots = self._slots(distinct)
         at = slots[where]
         count = self.offset[at + 1] - self.offset[at]
         ids = self.flat[np.repeat(self.offset[at], count) + tk.ranges(count)]
@@ -358,7 +401,9 @@ def encoded(docs: DataFrame, model: PieceModel) -> DataFrame:
         for batch in batches:
             raw = batch.column("text")
             texts = pc.replace_substring(raw, MARK, " ") if pc.any(pc.match_substring(raw, MARK)).as_py() else raw
-            for i, j, data, offsets in tk.slices(texts, SLICE):
+            for _, _, data, offsets in tk.slices(texts):
+                encoder.learn(data, offsets)
+            for i, j, data, offsets in tk.slices(texts):
                 ids, before = encoder.encode(data, offsets)
                 back, ends = decode(model, ids, before)
                 same = len(back) == len(data) and bool((back == data).all()) and bool((ends == offsets).all())
