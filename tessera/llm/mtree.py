@@ -16,7 +16,8 @@ compared rounded to 6 digits, ties go to the lower id, and bounds leave room for
 
 Defined results: rows with a null id or vector, a null or non-finite component, or
 another dimension than most vectors, take no part; a row is no neighbour of rows with
-its own id; with fewer than k others a query has as many neighbours as there are.
+its own id; rows that repeat id and vector are one; with fewer than k others a query has
+as many neighbours as there are.
 """
 
 from __future__ import annotations
@@ -131,7 +132,7 @@ def nearest(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col:
     """(vec_id, neighbor_id, rank, distance) of the k nearest other rows of every row."""
     spark = vectors.sparkSession
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
-    rows = rows.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).filter(F.size("v") > 0)
+    rows = rows.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).filter(F.size("v") > 0).dropDuplicates(["id", "v"])
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     out = "vec_id long, neighbor_id long, rank int, distance double"
     if not sizes:
