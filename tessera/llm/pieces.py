@@ -11,8 +11,8 @@ of the greatest sum of scores.  For them a path is admissible if each pair of su
 pieces is what merging its characters by rank would leave apart; by the locality of
 merges there is then exactly one path, and it is the encoding that merging gives.  For
 unigram models the sum of the scores decides.  Characters without a piece fall back to
-their bytes.  Words with inner runs of spaces, whose pieces tie in rank, are merged one
-by one.
+their bytes.  Words with inner runs of spaces, whose pieces tie in rank, and words over
+LONG characters are merged one by one, by a heap.
 
 Defined results: a null text has null ids; an empty text has none; decoding returns the
 text as it was, but for U+2581, which stands for a space in these models.
@@ -20,6 +20,7 @@ text as it was, but for U+2581, which stands for a space in these models.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -37,6 +38,7 @@ MARK = "▁"
 CACHE_WORDS = 1 << 20
 _BATCH = 1 << 14
 _WAIT = 1 << 16
+LONG = 128
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -57,6 +59,7 @@ class PieceModel:
     bpe: bool
     seen: np.ndarray  # by the top 20 bits of a hash: whether a piece has them
     merges: dict[str, tuple[int, int]] = field(default_factory=dict)  # piece -> (rank, id)
+    pieces: dict[str, int] = field(default_factory=dict)  # usable piece -> id
 
     @property
     def size(self) -> int:
@@ -72,16 +75,29 @@ def _hash(codes: np.ndarray) -> np.uint64:
 
 
 def merge_word(word: str, merges: dict[str, tuple[int, int]]) -> tuple[list[str], tuple[str, str] | None]:
-    """(pieces, halves of the last merge) of merging the best pair, leftmost first, until none is left."""
-    parts, last = list(word), None
-    while len(parts) > 1:
-        best = min(((merges[a + b][0], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in merges), default=None)
-        if best is None:
-            break
-        i = best[1]
-        last = (parts[i], parts[i + 1])
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return parts, last
+    """(pieces, halves of the last merge) of merging the best pair, leftmost first, until none is left.
+
+    A heap of pairs over a linked list, so that long words take n log n steps.
+    """
+    parts: list[str | None] = list(word)
+    n, last = len(parts), None
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(merges[a + b][0], i, a + b) for i, (a, b) in enumerate(zip(word, word[1:])) if a + b in merges]
+    heapq.heapify(heap)
+    while heap:
+        _, i, made = heapq.heappop(heap)
+        j = after[i] if parts[i] is not None else n
+        if j >= n or parts[i] + parts[j] != made:
+            continue  # one of the two was merged elsewhere
+        last = (parts[i], parts[j])
+        parts[i], parts[j] = made, None
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < n and (both := parts[a] + parts[b]) in merges:
+                heapq.heappush(heap, (merges[both][0], a, both))
+    return [p for p in parts if p is not None], last
 
 
 @lru_cache(maxsize=2)
@@ -128,7 +144,7 @@ def load(path: str = MODEL, bpe: bool = True) -> PieceModel:
     for i in range(n):
         b = bytes([int(text[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else text[i].replace(MARK, " ").encode()
         out.append(b)
-    return PieceModel(keys[o], np.array(usable)[o], scores, rank, left, right, np.array([k for k, _ in pairs], np.int64), np.array([i for _, i in pairs], np.int64), byte_ids, np.frombuffer(b"".join(out), np.uint8), np.r_[0, np.cumsum([len(b) for b in out])].astype(np.int64), max((len(text[i]) for i in usable), default=1), bpe, _seen(keys), ranks)
+    return PieceModel(keys[o], np.array(usable)[o], scores, rank, left, right, np.array([k for k, _ in pairs], np.int64), np.array([i for _, i in pairs], np.int64), byte_ids, np.frombuffer(b"".join(out), np.uint8), np.r_[0, np.cumsum([len(b) for b in out])].astype(np.int64), max((len(text[i]) for i in usable), default=1), bpe, _seen(keys), ranks, {text[i]: i for i in usable})
 
 
 def _seen(keys: np.ndarray) -> np.ndarray:
@@ -221,6 +237,26 @@ def viterbi(model: PieceModel, codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return piece, back
 
 
+def long_word(model: PieceModel, text: str) -> list[int]:
+    """The path of the greatest sum for a single long word, a position at a time."""
+    best, piece, back = [-np.inf] * (len(text) + 1), [-1] * (len(text) + 1), [0] * (len(text) + 1)
+    best[0] = 0.0
+    unknown = float(model.scores.min()) - 10
+    for end in range(1, len(text) + 1):
+        for start in range(max(0, end - model.longest), end):
+            found = model.pieces.get(text[start:end], -1)
+            if found < 0 and end - start > 1:
+                continue
+            value = best[start] + (model.scores[found] if found >= 0 else unknown)
+            if value > best[end]:
+                best[end], piece[end], back[end] = value, found if found >= 0 else model.size + ord(text[start]), start
+    out, at = [], len(text)
+    while at:
+        out.append(piece[at])
+        at = back[at]
+    return out[::-1]
+
+
 def _trace(piece: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place from the end, piece) of the paths' pieces."""
     at = np.full(len(piece), piece.shape[1] - 1)
@@ -244,6 +280,7 @@ def encode_words(model: PieceModel, codes: np.ndarray, lengths: np.ndarray) -> t
     inner[begin[begin < len(codes)]] = False
     odd = np.zeros(len(lengths), bool)
     odd[np.searchsorted(begin, np.flatnonzero(inner[:-1]), side="right") - 1] = model.bpe
+    odd |= lengths > LONG
     word, place, ids = [], [], []
     for length in np.unique(lengths[~odd]):
         rows = np.flatnonzero((lengths == length) & ~odd)
@@ -255,18 +292,12 @@ def encode_words(model: PieceModel, codes: np.ndarray, lengths: np.ndarray) -> t
             word.append(part[r])
             place.append(-s)
             ids.append(found)
-    single = {}
     for w in np.flatnonzero(odd):
         text = codes[begin[w] : begin[w] + lengths[w]].tobytes().decode("utf-32-le")
-        parts, _ = merge_word(text, model.merges)
-        out = []
-        for p in parts:
-            if len(p) > 1:
-                out.append(model.merges[p][1])
-            else:
-                if p not in single:
-                    single[p] = int(_find(model.keys, model.key_ids, np.array([_hash(np.frombuffer(p.encode("utf-32-le"), np.uint32))], np.uint64))[0])
-                out.append(single[p] if single[p] >= 0 else model.size + ord(p))
+        if model.bpe:
+            out = [model.merges[p][1] if len(p) > 1 else model.pieces.get(p, model.size + ord(p)) for p in merge_word(text, model.merges)[0]]
+        else:
+            out = long_word(model, text)
         word.append(np.full(len(out), w))
         place.append(np.arange(len(out)) - len(out))
         ids.append(np.array(out))
