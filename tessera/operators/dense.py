@@ -1,4 +1,4 @@
-"""Dense retrieval: vector checks, similarities and top-k by full scan."""
+"""Dense retrieval: vector checks, similarities and top-k by full scan of blocks against blocks."""
 
 from __future__ import annotations
 
@@ -16,6 +16,10 @@ from tessera.operators.sparse import DEFAULT_K, top
 SIMILARITIES = ("cosine", "dot", "euclidean")
 NORM_TOLERANCE = 1e-4
 BLOCK = 4096
+QUERIES = 512
+#: Queries that travel with the tasks, and rows of a group where there are more.
+SMALL = 1024
+GROUP = 8192
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,42 +52,76 @@ def problem(vector: Column, dimension: int, kind: str = "cosine") -> Column:
     return F.when(vector.isNull(), "missing").when(F.size(vector) != dimension, "dimension").when(F.exists(vector, lambda x: x.isNull() | F.isnan(x)), "not a number").when(unit, "norm")
 
 
+def _best(asked: pd.DataFrame, points: pd.DataFrame, kind: str, digits: int | None) -> Iterator[pd.DataFrame]:
+    """The best of ``points`` for each row of ``asked``, a block of both at a time; pairs of unequal dimension are left out."""
+    size = lambda vs: np.array([-1 if v is None else len(v) for v in vs], np.int64)
+    points = points.sort_values("chunk_id", kind="stable")
+    asked_size, point_size = size(asked["query_vector"]), size(points["vector"])
+    for d in np.intersect1d(asked_size, point_size):
+        if d < 0:
+            continue
+        these, those = asked[asked_size == d], points[point_size == d]
+        for i in range(0, len(those), BLOCK):
+            part = those.iloc[i : i + BLOCK]
+            x = np.array(part["vector"].tolist(), np.float64).reshape(len(part), d)
+            names, corpus = part["chunk_id"].to_numpy(), part["corpus_id"].to_numpy()
+            for j in range(0, len(these), QUERIES):
+                q = these.iloc[j : j + QUERIES]
+                m = np.array(q["query_vector"].tolist(), np.float64).reshape(len(q), d)
+                if kind == "euclidean":
+                    s = -np.sqrt(np.maximum((m**2).sum(1)[:, None] + (x**2).sum(1) - 2 * m @ x.T, 0))
+                else:
+                    s = m @ x.T
+                s = np.round(s, digits) if digits is not None else s
+                s[~np.isfinite(s)] = -np.inf
+                for r, c in enumerate(q["corpus_id"]):
+                    if not pd.isna(c):
+                        s[r, corpus != c] = -np.inf
+                ks = q["top_k"].to_numpy()
+                most = min(max(int(ks.max()), 1), len(part))
+                # all that tie with the last of the best stay until the names decide
+                rows, cols = np.nonzero((s >= np.partition(s, -most, axis=1)[:, [-most]]) & (s > -np.inf))
+                order = np.lexsort((cols, -s[rows, cols], rows))
+                rows, cols = rows[order], cols[order]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                rows, cols = rows[place < ks[rows]], cols[place < ks[rows]]
+                if len(rows):
+                    yield pd.DataFrame({"query_id": q["query_id"].to_numpy()[rows], "chunk_id": names[cols], "top_k": ks[rows], "score": s[rows, cols]})
+
+
 def top_k(queries: DataFrame, embeddings: DataFrame, kind: str = "cosine", k: int = DEFAULT_K, digits: int | None = None) -> DataFrame:
     """(query_id, chunk_id, rank, dense_score) for queries (query_id, query_vector, corpus_id, top_k).
 
     Vectors are scored a block at a time by a matrix product, which keeps each block's best
-    per query; the queries of a batch are the small side and travel with the tasks.
+    per query.  Up to SMALL queries travel with the tasks; of more, groups of queries meet
+    groups of vectors, each pair of groups in a task, and nothing is collected.
     """
     check_similarity(kind)
-    asked = queries.select("query_id", "query_vector", "corpus_id", F.coalesce("top_k", F.lit(k)).cast("int").alias("top_k")).toPandas()
-    spark = embeddings.sparkSession
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "query_vector", "corpus_id", F.coalesce("top_k", F.lit(k)).cast("int").alias("top_k"))
+    points = embeddings.select(F.col("chunk_id").cast("string").alias("chunk_id"), "corpus_id", "vector")
     out = "query_id string, chunk_id string, top_k int, score double"
-    if not len(asked):
-        return top(spark.createDataFrame([], out), "score").select("query_id", "chunk_id", "rank", F.col("score").alias("dense_score"))
-    matrix = np.array(asked["query_vector"].tolist(), np.float64)
-    ids, ks = asked["query_id"].astype(str).to_numpy(), asked["top_k"].to_numpy()
-    corpora = [None if pd.isna(c) else c for c in asked["corpus_id"]]
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch[[v is not None and len(v) == matrix.shape[1] for v in batch["vector"]]]
-            for i in range(0, len(batch), BLOCK):
-                part = batch.iloc[i : i + BLOCK]
-                x = np.array(part["vector"].tolist(), np.float64)
-                if kind == "euclidean":
-                    s = -np.sqrt(np.maximum((matrix**2).sum(1)[:, None] + (x**2).sum(1) - 2 * matrix @ x.T, 0))
-                else:
-                    s = matrix @ x.T
-                names, corpus = part["chunk_id"].astype(str).to_numpy(), part["corpus_id"].to_numpy()
-                s = np.round(s, digits) if digits is not None else s
-                for q in range(len(ids)):
-                    row = s[q] if corpora[q] is None else np.where(corpus == corpora[q], s[q], -np.inf)
-                    best = np.lexsort((names, -row))[: ks[q]]
-                    best = best[np.isfinite(row[best])]
-                    if len(best):
-                        yield pd.DataFrame({"query_id": ids[q], "chunk_id": names[best], "top_k": ks[q], "score": row[best]})
-
-    found = embeddings.select(F.col("chunk_id").cast("string").alias("chunk_id"), "corpus_id", "vector").mapInPandas(score, out)
+    few = asked.limit(SMALL + 1).toPandas()
+    if len(few) <= SMALL:
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield from _best(few, batch, kind, digits)
+
+        found = points.mapInPandas(score, out)
+    else:
+        across, down = (max(1, -(-t.count() // GROUP)) for t in (asked, points))
+        left = asked.withColumn("across", F.pmod(F.xxhash64("query_id"), F.lit(across)).cast("int")).withColumn("down", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+        right = points.withColumn("down", F.pmod(F.xxhash64("chunk_id"), F.lit(down)).cast("int")).withColumn("across", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+
+        def meet(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+            best = [*_best(q, p, kind, digits)]
+            if not best:
+                return pd.DataFrame({"query_id": [], "chunk_id": [], "top_k": [], "score": []})
+            # of a group's blocks only the best go on
+            rows = pd.concat(best).sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True], kind="stable")
+            return rows[rows.groupby("query_id").cumcount() < rows["top_k"]]
+
+        found = left.groupBy("across", "down").cogroup(right.groupBy("across", "down")).applyInPandas(meet, out)
     return top(found, "score").select("query_id", "chunk_id", "rank", F.col("score").alias("dense_score"))
 
 

@@ -285,7 +285,7 @@ def vector_validation(spark: SparkSession, d: str) -> DataFrame:
 def _dense(kind: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         e = _t(spark, d, "embeddings")
-        asked = e.filter("vec_id < 20").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("query_vector"), F.lit(None).cast("string").alias("corpus_id"), F.lit(None).cast("int").alias("top_k"))
+        asked = e.select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("query_vector"), F.lit(None).cast("string").alias("corpus_id"), F.lit(None).cast("int").alias("top_k"))
         points = e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.lit("c").alias("corpus_id"), F.col("embedding").alias("vector"))
         return dense.top_k(asked, points, kind, digits=6).select("query_id", "chunk_id", "rank", F.round("dense_score", 6).alias("score"))
 
