@@ -28,3 +28,34 @@ def test_every_vector_is_a_query(spark, tmp_path, monkeypatch, kind, groups):
         best = sorted(((-round(float(v), 6), str(i)) for i, v in enumerate(s)))[:10]
         mine = [got[str(q)][k] for k in range(1, 11)]
         assert [c for c, _ in mine] == [c for _, c in best] and np.allclose([v for _, v in mine], [-v for v, _ in best])
+
+
+def test_bm25_asks_with_the_whole_item(spark, tmp_path):
+    """Words from the ninth on count: they decide the strict match, the scores and the order."""
+    names = "alpha bravo carbon delta ember falcon garnet harbor".split()
+    rows = [(1, " ".join(names)), (2, " ".join([*names, "indigo", "jasper"])), (3, " ".join([*names, "indigo"])), (4, "zebra"), (5, "indigo jasper jasper"), (6, None), *[(i, f"other{i} text") for i in range(10, 40)]]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, " ".join([*names, "indigo", "jasper"])), (2, " ".join([*names, "jasper", "nowhere"]))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = {str(i): t.split() for i, t in rows if t is not None}
+    average = sum(map(len, texts.values())) / len(texts)
+
+    def idf(word):
+        df = sum(word in t for t in texts.values())
+        return max(np.log((len(texts) - df + 0.5) / (df + 0.5)), 1e-6)
+
+    def part(word, t):
+        tf = t.count(word)
+        return idf(word) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / average))
+
+    for stemmed in ("porter", "ascii"):
+        got = {}
+        for r in QUERIES[f"bm25_topk_{stemmed}"](spark, str(tmp_path)).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"], float(r[3])))
+        for item, asked in items:
+            words = asked.split()
+            strict = [c for c, t in texts.items() if all(w in t for w in words)]
+            scored = {c: sum(part(w, t) for w in words if w in t) for c, t in texts.items() if (c in strict if strict else any(w in t for w in words))}
+            best = sorted(scored, key=lambda c: (-round(scored[c], 9), c))[:10]
+            mine = sorted(got[str(item)])
+            assert [c for _, c, _ in mine] == best and np.allclose([s for *_, s in mine], [scored[c] for c in best], atol=1e-6)
