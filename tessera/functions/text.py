@@ -43,7 +43,14 @@ def boost_words(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two texts' sets of lower-case words: 1 if both are empty, 0 if one is."""
-    x, y = F.array_distinct(words(F.lower(a))), F.array_distinct(words(F.lower(b)))
+    return jaccard_of_sets(word_set(a), word_set(b))
+
+
+def word_set(text: Column) -> Column:
+    return F.array_distinct(words(F.lower(text)))
+
+
+def jaccard_of_sets(x: Column, y: Column) -> Column:
     shared, every = F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))
     return F.when(every == 0, F.lit(1.0)).otherwise(shared / F.greatest(every, F.lit(1)))
 

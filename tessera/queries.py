@@ -363,8 +363,8 @@ def _legs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Two rankings of the documents of each source: by length and by id."""
     docs = _t(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", "n_chars")
     order = lambda *c: F.row_number().over(Window.partitionBy("query_id").orderBy(*c))
-    a = docs.select("query_id", "chunk_id", order(F.desc("n_chars"), "doc_id").alias("rank"), F.col("n_chars").cast("double").alias("sparse_score")).filter("rank <= 30")
-    b = docs.select("query_id", "chunk_id", order(F.desc("doc_id")).alias("rank"), F.col("doc_id").cast("double").alias("dense_score")).filter("rank <= 30")
+    a = docs.select("query_id", "chunk_id", order(F.desc("n_chars"), "doc_id").alias("rank"), F.col("n_chars").cast("double").alias("sparse_score"))
+    b = docs.select("query_id", "chunk_id", order(F.desc("doc_id")).alias("rank"), F.col("doc_id").cast("double").alias("dense_score"))
     return a, b
 
 
@@ -417,10 +417,10 @@ _SETS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), l
     SELECT a.doc_id AS a, b.doc_id AS b, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w)) * 1.0 / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END, 6)::DOUBLE AS jaccard
     FROM s AS a JOIN s AS b ON a.source = b.source AND a.doc_id < b.doc_id""")
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity of all pairs of short documents of a source."""
-    s = _t(spark, d, "documents").filter(F.length("text") < 400).select("doc_id", "source", "text")
-    b = s.select(F.col("doc_id").alias("b"), "source", F.col("text").alias("other"))
-    return s.join(b, "source").filter("doc_id < b").select(F.col("doc_id").alias("a"), "b", F.round(T.jaccard(F.col("text"), F.col("other")), 6).alias("jaccard"))
+    """Similarity of all pairs of documents of a source; null texts have none."""
+    s = _t(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "source", T.word_set(F.col("text")).alias("words"))
+    b = s.select(F.col("doc_id").alias("b"), "source", F.col("words").alias("other"))
+    return s.join(b, "source").filter("doc_id < b").select(F.col("doc_id").alias("a"), "b", F.round(T.jaccard_of_sets(F.col("words"), F.col("other")), 6).alias("jaccard"))
 
 
 @query()
@@ -430,7 +430,7 @@ def collapse_near_dup(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mmr_order(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.mmr(_hits(spark, d).filter("rank <= 50"), 0.5).select("query_id", "chunk_id", "rank")
+    return ranking.mmr(_hits(spark, d), 0.5).select("query_id", "chunk_id", "rank")
 
 
 # context, budgets and evidence

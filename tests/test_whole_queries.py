@@ -1,5 +1,7 @@
 """Queries over small tables against brute force on every row."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -59,3 +61,45 @@ def test_bm25_asks_with_the_whole_item(spark, tmp_path):
             best = sorted(scored, key=lambda c: (-round(scored[c], 9), c))[:10]
             mine = sorted(got[str(item)])
             assert [c for _, c, _ in mine] == best and np.allclose([s for *_, s in mine], [scored[c] for c in best], atol=1e-6)
+
+
+@pytest.fixture(scope="module")
+def long_lists(spark, tmp_path_factory):
+    """Sources with more documents than any cap had, most of them long."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(130):
+        text = " ".join(f"w{rng.randrange(80)}" for _ in range(rng.choice([20, 150])))
+        rows.append((i, text, "en", f"src{i % 2}", len(text)))
+    rows.append((500, None, "en", "src0", None))
+    d = str(tmp_path_factory.mktemp("long"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    return d, rows
+
+
+def test_jaccard_of_all_documents(spark, long_lists):
+    d, rows = long_lists
+    sets = [(i, s, set(t.split())) for i, t, _, s, _ in rows if t is not None]
+    want = {(a, b): round(len(x & y) / len(x | y), 6) for a, s, x in sets for b, t, y in sets if s == t and a < b}
+    got = {(r["a"], r["b"]): r["jaccard"] for r in QUERIES["jaccard_pairs"](spark, d).collect()}
+    assert got == want
+
+
+def test_lists_have_all_hits(spark, long_lists):
+    d, rows = long_lists
+    every = {(s, str(i)) for i, _, _, s, _ in rows}
+    mmr = QUERIES["mmr_order"](spark, d).collect()
+    assert {(r["query_id"], r["chunk_id"]) for r in mmr} == every and len(mmr) == len(every)
+    fused = {(r["query_id"], r["chunk_id"]): (r["fusion_score"], r["rank"]) for r in QUERIES["rrf_hybrid"](spark, d).collect()}
+    assert set(fused) == every
+    first = {r["query_id"]: [] for r in mmr}
+    for source, hits in first.items():
+        ids = [(i, -1 if n is None else n) for i, _, _, s, n in rows if s == source]
+        a = {i: k for k, (i, _) in enumerate(sorted(ids, key=lambda x: (-x[1], x[0])), 1)}
+        b = {i: k for k, (i, _) in enumerate(sorted(ids, reverse=True), 1)}
+        score = {i: 1 / (60 + a[i]) + 1 / (60 + b[i]) for i, _ in ids}
+        hits += sorted(score, key=lambda i: (-score[i], str(i)))
+        for k, i in enumerate(hits, 1):
+            assert fused[source, str(i)] == (pytest.approx(score[i], abs=1e-9), k)
+    trimmed = {(r["query_id"], r["chunk_id"], r["rank"]) for r in QUERIES["top_k_trim"](spark, d).collect()}
+    assert trimmed == {(s, str(i), k) for s, n in (("src0", 10), ("src1", 3)) for k, i in enumerate(first[s][:n], 1)}
