@@ -462,13 +462,13 @@ def skip_budget_pack(spark: SparkSession, d: str) -> DataFrame:
 def neighbor_expand(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("query_id"), F.col("conv_id").alias("section_id"), F.col("turn").alias("ordinal"), F.concat_ws("/", "conv_id", "turn").alias("chunk_id"), "turn")
     linked = context.link_neighbors(rows)
-    return context.neighbors(rows.filter("turn % 3 = 0"), linked, 2)
+    return context.neighbors(rows, linked, 2)
 
 
 def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = _t(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("query_id"), F.col("conv_id").alias("section_id"), F.col("turn").alias("ordinal"), F.concat_ws("/", "conv_id", "turn").alias("chunk_id"), "turn", T.token_count(F.col("text")).alias("token_count"), F.col("text"), F.col("role").alias("parent_locator"), F.col("role").alias("source_id"))
     linked = context.link_neighbors(rows)
-    hits = linked.filter("turn % 3 = 1").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("turn")))
+    hits = linked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("turn")))
     around = context.neighbors(hits, linked, 1).join(linked.select(F.col("chunk_id").alias("neighbor_id"), "token_count"), "neighbor_id")
     return linked, context.pack(hits, around, 400)
 

@@ -103,3 +103,15 @@ def test_lists_have_all_hits(spark, long_lists):
             assert fused[source, str(i)] == (pytest.approx(score[i], abs=1e-9), k)
     trimmed = {(r["query_id"], r["chunk_id"], r["rank"]) for r in QUERIES["top_k_trim"](spark, d).collect()}
     assert trimmed == {(s, str(i), k) for s, n in (("src0", 10), ("src1", 3)) for k, i in enumerate(first[s][:n], 1)}
+
+
+def test_every_turn_is_a_hit(spark, tmp_path):
+    turns = {1: range(7), 2: [0], 3: [0, 1, 2]}
+    rows = [(c, t, "user", f"what about the other {t}") for c, ts in turns.items() for t in ts]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {(str(c), f"{c}/{a}", f"{c}/{b}", b - a) for c, ts in turns.items() for a in ts for b in ts if 1 <= abs(a - b) <= 2}
+    assert {tuple(r) for r in QUERIES["neighbor_expand"](spark, str(tmp_path)).collect()} == want
+    packed = QUERIES["expand_and_pack"](spark, str(tmp_path)).collect()
+    assert sorted((r["query_id"], r["chunk_id"], r["role"]) for r in packed) == sorted((str(c), f"{c}/{t}", "hit") for c, t, *_ in rows)
+    cited = QUERIES["snippets"](spark, str(tmp_path)).collect()
+    assert sorted(r["chunk_id"] for r in cited) == sorted(f"{c}/{t}" for c, t, *_ in rows)
