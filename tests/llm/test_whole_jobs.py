@@ -1,0 +1,34 @@
+"""Corpus operators on inputs of which a part used to be lost."""
+
+from collections import Counter
+
+import numpy as np
+
+from tessera.llm import mixing
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_a_scarce_source_bounds_no_quotas():
+    skewed = {"hot": 500_000, "stray": 3, **{f"s{i:02}": 26_300 for i in range(19)}}
+    weights = mixing.tempered(skewed)
+    names, have, quotas = mixing.block_quotas(skewed, weights, total=sum(skewed.values()))
+    assert quotas.sum() >= sum(skewed.values()) // mixing.BLOCK and (quotas <= have).all()
+    names, have, quotas = mixing.block_quotas(skewed, weights, total=400_000)
+    got = dict(zip(names, quotas.tolist()))
+    assert sum(got.values()) == 50_000 and got["stray"] == 1
+    assert abs(got["hot"] / got["s00"] - weights["hot"] / weights["s00"]) < 0.01
+
+
+def test_mixing_without_weights_draws_every_document(spark):
+    rows = [(i, f"t{i}", "en", "hot", 2) for i in range(900)]
+    rows += [(1000 + i, f"u{i}", "en", f"s{i % 6}", 2) for i in range(300)]
+    rows += [(2000 + i, f"v{i}", "en", None, 2) for i in range(20)] + [(3000, "w", "en", "stray", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(docs, docs_per_shard=64).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    shards = Counter(r["__shard"] for r in got)
+    assert len(shards) > 10 and max(shards.values()) <= 2 * 64
+    some = Counter(r["source"] for r in mixing.mix(docs, docs_per_shard=64, total=600).collect())
+    assert abs(sum(some.values()) - 600) <= 9 * mixing.BLOCK and some["stray"] == 1 and some[None] > 0
+    assert np.isclose(some["hot"] / some["s0"], (900 / 50) ** 0.7, rtol=0.3)
