@@ -3,6 +3,8 @@
 Candidates are the maximal runs of characters that secrets are written in.  Each of two
 first-order Markov models, with the smoothed frequencies of labelled samples, gives the
 likelihood of a candidate's characters; their log-likelihood ratio per string decides.
+A candidate that fails as a whole is searched for stretches: those of the greatest sum of
+ratios, widened to the next / _ or -, so that a key in a path or name isn't outvoted.
 The samples of random strings are drawn in the usual alphabets (hexadecimal, base 32,
 62 and 64, with prefixes); those of ordinary identifiers are words, camel and snake
 case names, paths, dates and numbers.  A candidate's characters are first mapped to its
@@ -10,7 +12,7 @@ case pattern's alphabet, so that a hexadecimal string is random although it has
 letters.
 
 Defined results: null and empty texts have no secrets; each occurrence is a row; a
-candidate must have ``MIN_LENGTH`` characters and a digit or mixed case within; plain
+candidate or stretch must have ``MIN_LENGTH`` characters and a digit or mixed case within; plain
 numbers, such as telephone and card numbers, are personal data and not secrets.  Offsets
 count characters.  The secret itself is shown by its first 4 characters only.
 """
@@ -120,6 +122,36 @@ class SecretModel:
         """Log-likelihood ratio of random to ordinary; above 0 the string looks random."""
         return self.random.log_likelihood(strings) - self.ordinary.log_likelihood(strings)
 
+    def stretches(self, s: str, threshold: float) -> list[tuple[int, int, float]]:
+        """(start, end, ratio) of the stretches of a candidate that pass on their own."""
+        code = _CODE[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)]
+        gain = (self.random.steps[code[:-1], code[1:]] - self.ordinary.steps[code[:-1], code[1:]]).tolist()
+        out, todo = [], [(0, len(s))]
+        while todo:
+            lo, hi = todo.pop()
+            if hi - lo < MIN_LENGTH:
+                continue
+            best, begin, end, total, since = 0.0, lo, lo, 0.0, lo
+            for i in range(lo, hi - 1):
+                total += gain[i]
+                if total <= 0:
+                    total, since = 0.0, i + 1
+                elif total > best:
+                    best, begin, end = total, since, i + 2
+            if best < threshold:
+                continue
+            while begin > lo and s[begin - 1] not in "/_-":
+                begin -= 1
+            while end < hi and s[end] not in "/_-":
+                end += 1
+            while begin < end and s[begin] in "/_-":
+                begin += 1
+            part = s[begin:end]
+            if len(part) >= MIN_LENGTH and plausible(part) and (r := float(np.round(self.ratio([part])[0], 6))) >= threshold:
+                out.append((begin, end, r))
+            todo += [(lo, begin), (max(end, begin + 1), hi)]
+        return sorted(out)
+
 
 def train(samples: int = SAMPLES, seed: int = 8) -> SecretModel:
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -142,19 +174,24 @@ def scan(docs: DataFrame, model: SecretModel, threshold: float = THRESHOLD) -> D
     # splitting at candidates gives what lies before each: the offsets follow by adding lengths
     found = rows.select("doc_id", F.regexp_extract_all("text", F.lit(f"({CANDIDATE})"), F.lit(1)).alias("c"), F.transform(F.split("text", CANDIDATE, -1), F.length).alias("gaps"))
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("array<struct<i:int,at:int,n:int,score:double>>")
     def score(lists: pd.Series) -> pd.Series:
         flat = [s for x in lists for s in x]
         ratio = np.round(model.ratio(flat), 6)
-        ratio = [float(r) if plausible(s) else -1e9 for r, s in zip(ratio, flat)]
-        out, at = [], 0
+        out, k = [], 0
         for x in lists:
-            out.append(ratio[at : at + len(x)])
-            at += len(x)
+            hits = []
+            for i, s in enumerate(x):
+                if plausible(s):
+                    whole = float(ratio[k])
+                    parts = [(0, len(s), whole)] if whole >= threshold else model.stretches(s, threshold)
+                    hits += [{"i": i, "at": a, "n": b - a, "score": r} for a, b, r in parts]
+                k += 1
+            out.append(hits)
         return pd.Series(out)
 
-    scored = found.withColumn("s", score("c")).filter(F.array_max("s") >= threshold)
-    wide = scored.select("doc_id", F.posexplode("s").alias("i", "score"), "c", "gaps").filter(F.col("score") >= threshold)
+    scored = found.withColumn("s", score("c")).filter(F.size("s") > 0)
+    wide = scored.select("doc_id", F.explode("s").alias("s"), "c", "gaps").select("doc_id", "s.i", "s.at", "s.n", "s.score", "c", "gaps")
     before = F.aggregate(F.slice("gaps", 1, F.col("i") + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice("c", 1, F.col("i")), F.lit(0), lambda a, x: a + F.length(x))
     secret = F.element_at("c", F.col("i") + 1)
-    return wide.select("doc_id", before.cast("long").alias("start"), F.length(secret).cast("long").alias("length"), F.concat(F.substring(secret, 1, 4), F.lit("...")).alias("preview"), "score")
+    return wide.select("doc_id", (before + F.col("at")).cast("long").alias("start"), F.col("n").cast("long").alias("length"), F.concat(F.substring(secret, F.col("at") + 1, F.lit(4)), F.lit("...")).alias("preview"), "score")
