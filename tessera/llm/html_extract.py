@@ -12,8 +12,10 @@ authors mark as content or boilerplate (article, main; nav, footer, aside, ...,
 elements whose class, id or role names a kind of boilerplate) label their blocks.
 
 Defined results: a null page gives a null text, a page without content blocks an empty
-one.  Scripts, styles, comments, templates and the head are never content.  Unclosed
-elements are closed by the next block element; unknown entities stay as they are.  Rows
+one.  Scripts, styles, comments, templates and a head's elements are never content.  Unclosed
+elements are closed by the next block element; a head ends at the first element or text
+that can't be in it; where the end tag of another dropped element is missing only
+its tags are dropped (a script or style goes on to the end of the page).  Unknown entities stay as they are.  Rows
 that repeat a page_id give a row each.
 """
 
@@ -33,7 +35,7 @@ MAX_PAGES = 600
 SMOOTH = 0.6
 SAME_PARENT = 0.9
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
-_SKIP = {"script", "style", "noscript", "template", "head", "svg", "iframe", "select", "textarea", "title"}
+_SKIP = {"script", "style", "noscript", "template", "svg", "iframe", "select", "textarea", "title"}
 _BLOCK = {
     "p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "thead", "tbody",
     "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption", "form", "fieldset", "address", "body", "html", "hr", "br", "center", "caption",
@@ -45,6 +47,21 @@ _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I
 _AD = re.compile(r"\b(ad|ads|advert|sponsor|promo|banner|menu|nav|footer|sidebar|related|share|social|cookie|comment|breadcrumb)s?\b", re.I)
 
 
+def skip_ends(page: str, tag: str) -> dict[int, int]:
+    """Where the elements of a name that have an end tag end, by where their start tags end."""
+    out: dict[int, int] = {}
+    opened: list[int] = []
+    for m in _TOKEN.finditer(page):
+        if m.group(2) is None or m.group(2).lower() != tag:
+            continue
+        if not m.group(1):
+            if not m.group(3).rstrip().endswith("/"):
+                opened.append(m.end())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 @dataclass
 class Block:
     text: str
@@ -61,9 +78,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, int, bool, int]] = [("", 0, False, -1)]  # element, number, hinted, label
     parts: list[str] = []
-    linked = anchors = serial = skip = 0
-    skipped = ""
-    at = 0
+    linked = anchors = serial = at = 0
+    ends: dict[str, dict[int, int]] = {}
 
     def close() -> None:
         nonlocal linked
@@ -80,7 +96,7 @@ def blocks(page: str) -> list[Block]:
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
-        if not skip and m.start() > at:
+        if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
             if anchors:
@@ -90,16 +106,22 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag, ending = tag.lower(), bool(m.group(1))
-        if skip:
-            if tag == skipped:
-                skip += -1 if ending else 1
+        if tag == "head":
+            # what a head may hold is dropped or empty; anything else is the body's, with </head> or without
             continue
         if not ending and tag in _SKIP:
             if tag in {"script", "style", "textarea", "title"}:
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if end:
+                    at = end.end()
+                elif tag in {"script", "style"}:
+                    at = len(page)
+                else:
+                    at = after if (after := page.find("<", at)) >= 0 else len(page)
             elif not m.group(3).rstrip().endswith("/"):
-                skip, skipped = 1, tag
+                if tag not in ends:
+                    ends[tag] = skip_ends(page, tag)
+                at = ends[tag].get(at, at)
             continue
         if tag in _BLOCK:
             close()
@@ -129,7 +151,7 @@ def blocks(page: str) -> list[Block]:
             hinted = any(_AD.search(v.replace("-", " ").replace("_", " ")) for v in _ATTR.findall(attrs))
         label = 1 if tag in _GOOD else 0 if tag in _BAD else label
         stack.append((tag, serial, hinted, label))
-    if not skip and at < len(page):
+    if at < len(page):
         parts.append(page[at:])
     close()
     return out

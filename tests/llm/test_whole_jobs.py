@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from tessera.llm import mixing, secrets
+from tessera.llm import html_extract, mixing, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -50,3 +50,18 @@ def test_keys_inside_paths_and_names(spark):
         for key in keys[i]:
             assert any(a <= text.index(key) and text.index(key) + len(key) <= b for a, b, _ in spans), (text, spans)
         assert all(p == text[a : a + 4] + "..." for a, _, p in spans)
+
+
+def test_pages_with_missing_end_tags():
+    main = "A long sentence with many words that is the text of the page."
+    body = f"<article><p>{main}</p></article>"
+    texts = lambda page: [b.text for b in html_extract.blocks(page)]
+    assert texts(f"<html><head><title>x</title><style>p {{}}</style><body>{body}") == [main]
+    assert texts(f"<html><head><title>x</title><meta charset=utf-8>{body}") == [main]
+    assert texts(f"<head><title>x</title><noscript>no</noscript><script>if (1 < 2) {{}}</script></head><body>{body}</body>") == [main]
+    for tag in ("svg", "noscript", "iframe", "select", "template"):
+        assert texts(f"<body><{tag} a=b>{body}") == [main]
+        assert texts(f"<body><{tag}>{body}<{tag}>dropped</{tag}><p>end</p>") == [main, "end"]
+        assert texts(f"<body><{tag}>dropped<{tag}>dropped</{tag}>dropped</{tag}>{body}") == [main]
+    assert texts(f"<title>dropped<body>{body}") == texts(f"<textarea>dropped<body>{body}") == [main]
+    assert texts(f"<body>{body}<script>dropped <p>dropped</p>") == [main]
