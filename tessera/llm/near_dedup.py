@@ -9,8 +9,9 @@ similarities few bits differ, and the estimate is at its most precise.
 
 Documents with equal samples are tied to the lowest id first, so copies enter the bands
 once.  Inside a band's bucket a search compares a node with those not reached yet only:
-it yields a spanning forest of all pairs above the threshold, however large the bucket,
-and no partner is dropped.  Groups are the connected components over all bands.
+it yields a spanning forest of all pairs clearly above the threshold, however large the
+bucket, and no partner is dropped.  Pairs about the threshold, where estimates err most,
+are settled by the shingles of their texts, in lower case without punctuation.  Groups are the connected components over all bands.
 
 Defined results: null texts and texts without words are near no other; texts with fewer
 words than a shingle have one shingle of all their words; the lowest id of a group stays
@@ -19,12 +20,14 @@ words than a shingle have one shingle of all their words; the lowest id of a gro
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
@@ -34,9 +37,12 @@ from tessera.llm.components import components
 SHINGLE = 3
 PERMUTATIONS = 256
 BITS = 512
-BANDS = 24
-ROWS = 4
-THRESHOLD = 0.6
+BANDS = 40
+ROWS = 3
+THRESHOLD = 0.45
+#: Estimates from this much below the threshold to SURE above it are settled by the texts.
+MARGIN = 0.1
+SURE = 0.15
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,25 +151,29 @@ def _equal_samples(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
 
 
 def forest(node: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the pairs with at most ``most`` differing bits: each node that is
-    reached is compared once with all that aren't yet."""
+    """Spanning forest of the pairs with at most ``most`` differing bits."""
+    return bucket_pairs(node, sketch, most, most)[:2]
+
+
+def bucket_pairs(node: np.ndarray, sketch: np.ndarray, most: int, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spanning forest of the pairs with at most ``sure`` differing bits, and the pairs with at
+    most ``most``: each node that is reached is compared once with all that aren't yet."""
     left = np.arange(len(node))
-    a, b = [], []
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(sketch[left] ^ sketch[at]).sum(axis=1, dtype=np.int64) <= most
+            bits = np.bitwise_count(sketch[left] ^ sketch[at]).sum(axis=1, dtype=np.int64)
+            near, good = bits <= most, bits <= sure
             if near.any():
-                hit = left[near]
-                a.append(np.full(len(hit), node[at]))
-                b.append(node[hit])
-                queue.extend(hit.tolist())
-                left = left[~near]
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                found.append((np.full(int(near.sum()), node[at]), node[left[near]], good[near]))
+                queue.extend(left[good].tolist())
+                left = left[~good]
+    return tuple(np.concatenate(z) for z in zip(*found))
 
 
-def _band_edges(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _band_edges(batches: Iterator[pa.RecordBatch], most: int, sure: int) -> Iterator[pa.RecordBatch]:
     def split() -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column("bucket").to_numpy()
@@ -180,24 +190,60 @@ def _band_edges(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
         sketch = rows["sketch"][order].view(np.uint64).reshape(-1, _WORDS)
         two = size == 2
         x, y = start[two], start[two] + 1
-        near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64) <= most
-        found = [(node[x[near]], node[y[near]])]
-        found += [forest(node[s : s + c], sketch[s : s + c], most) for s, c in zip(start[size > 2], size[size > 2])]
-        a, b = (np.concatenate(z) for z in zip(*found))
-        pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        bits = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+        near = bits <= most
+        found = [(node[x[near]], node[y[near]], bits[near] <= sure)]
+        found += [bucket_pairs(node[s : s + c], sketch[s : s + c], most, sure) for s, c in zip(start[size > 2], size[size > 2])]
+        a, b, good = (np.concatenate(z) for z in zip(*found))
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), good], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] == 1)], names=["a", "b", "sure"])
     if ready:
-        yield pa.RecordBatch.from_arrays(_edge_rows([x for x, _ in ready], [y for _, y in ready]), names=["a", "b"])
+        a, b = _edge_rows([x for x, _ in ready], [y for _, y in ready])
+        yield pa.RecordBatch.from_arrays([a, b, pa.array(np.ones(len(a), bool))], names=["a", "b", "sure"])
+
+
+def normalised(text: Column) -> Column:
+    """Lower case without ASCII punctuation, which parts no copies."""
+    return F.translate(F.lower(text), string.punctuation, "")
+
+
+def shingle_sets(texts: pd.Series) -> list[np.ndarray]:
+    out = []
+    for _, _, data, offsets in tk.slices(pa.array(texts, pa.string())):
+        found, per = shingle_hashes(data, offsets)
+        out += [np.unique(x) for x in np.split(found, np.cumsum(per)[:-1])]
+    return out
+
+
+def exact_similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two normalised texts' shingles."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        shared = ((len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x, y in zip(shingle_sets(a), shingle_sets(b)))
+        return pd.Series([s / (n - s) if n > s else 0.0 for s, n in shared], dtype=float)
+
+    return run(a, b)
 
 
 def near_duplicate_edges(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) of doc_ids: a spanning forest of each band bucket's verified pairs."""
+    """(a, b) of doc_ids: pairs of each band bucket that join its copies.
+
+    The sketches settle clear pairs; the texts of the others are compared themselves.
+    """
     spark = docs.sparkSession
-    n, most = partitions(spark), most_bits(threshold)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n, most, sure = partitions(spark), most_bits(threshold - MARGIN), most_bits(min(threshold + SURE, 1.0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text").cast("string")).alias("text"))
     signs = rows.mapInArrow(lambda it: _signatures(it, n), "bucket int, sign binary, node binary, sketch binary, bands binary")
     bands = signs.repartition(n, "bucket").mapInArrow(lambda it: _equal_samples(it, n), "bucket int, key binary, node binary, sketch binary")
-    return bands.repartition(n, "bucket").mapInArrow(lambda it: _band_edges(it, most), "a long, b long")
+    found = cut(bands.repartition(n, "bucket").mapInArrow(lambda it: _band_edges(it, most, sure), "a long, b long, sure boolean"))
+    pairs = found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    doubtful = pairs.filter("NOT sure").select("a", "b")
+    asked = doubtful.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = cut(rows.join(asked, "doc_id", "left_semi"))
+    both = doubtful.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    near = both.filter("x IS NOT NULL AND y IS NOT NULL").filter(exact_similarity(F.col("x"), F.col("y")) >= threshold).select("a", "b")
+    return found.filter("sure").select("a", "b").unionByName(near)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

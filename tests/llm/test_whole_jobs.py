@@ -1,10 +1,12 @@
 """Corpus operators on inputs of which a part used to be lost."""
 
+import random
+import string
 from collections import Counter
 
 import numpy as np
 
-from tessera.llm import html_extract, mixing, secrets
+from tessera.llm import html_extract, mixing, near_dedup, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -65,3 +67,28 @@ def test_pages_with_missing_end_tags():
         assert texts(f"<body><{tag}>dropped<{tag}>dropped</{tag}>dropped</{tag}>{body}") == [main]
     assert texts(f"<title>dropped<body>{body}") == texts(f"<textarea>dropped<body>{body}") == [main]
     assert texts(f"<body>{body}<script>dropped <p>dropped</p>") == [main]
+
+
+def test_near_copies_from_the_threshold_on(spark):
+    """Short texts of which words were replaced once or twice over, and short texts that share a boilerplate line only."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(4000)}"
+    texts = {}
+    for i in range(0, 600, 2):
+        words = [word() for _ in range(rng.randrange(20, 90))]
+        texts[i] = " ".join(words)
+        for k in rng.sample(range(len(words)), max(1, int(len(words) * rng.uniform(0.03, 0.2)))):
+            words[k] = word()
+        texts[i + 1] = (" ".join(words).capitalize() + ".").replace(" ", ", ", 2)
+    line = "all rights reserved this text may be copied under the license"
+    for i in range(1000, 1080):
+        texts[i] = f"{line} {' '.join(word() for _ in range(12))}"
+    found = dict(map(tuple, near_dedup.near_duplicates(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], DOCS)).collect()))
+    plain = str.maketrans("", "", string.punctuation)
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in texts.items() if (w := t.lower().translate(plain).split())}
+    near = [i for i in range(0, 600, 2) if len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= near_dedup.THRESHOLD]
+    low = [i for i in near if len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) < 0.6]
+    assert near_dedup.THRESHOLD <= 0.45 and len(low) > 50
+    for some in (near, low):
+        assert sum(found.get(i + 1) == i for i in some) >= 0.9 * len(some)
+    assert all(a in {i + 1 for i in near} and b == a - 1 for a, b in found.items())
