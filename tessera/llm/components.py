@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.blocks import cut, drop
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b) but the roots; the root is the least node reached.
 
     Each round joins every node to the least node of its neighbourhood, first larger
@@ -18,7 +18,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     both = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = cut(both)
     mark = _mark(now)
-    for _ in range(max_rounds):
+    while True:
         sides = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sides.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = sides.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()

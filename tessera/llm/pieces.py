@@ -11,8 +11,8 @@ of the greatest sum of scores.  For them a path is admissible if each pair of su
 pieces is what merging its characters by rank would leave apart; by the locality of
 merges there is then exactly one path, and it is the encoding that merging gives.  For
 unigram models the sum of the scores decides.  Characters without a piece fall back to
-their bytes.  Words with inner runs of spaces, whose pieces tie in rank, and words over
-LONG characters are merged one by one, by a heap.
+their bytes.  Words longer than a window are cut into windows that advance together like
+words of equal length, and are joined where their paths agree.
 
 Defined results: a null text has null ids; an empty text has none; decoding returns the
 text as it was, but for U+2581, which stands for a space in these models.
@@ -20,9 +20,8 @@ text as it was, but for U+2581, which stands for a space in these models.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -35,10 +34,13 @@ from tessera.llm import textkit as tk
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE_WORDS = 1 << 20
-_BATCH = 1 << 14
-_WAIT = 1 << 16
-LONG = 128
+#: What an encoder holds at most: words whose ids it keeps, words that wait, characters of a Viterbi.
+CACHE_WORDS = 1 << 18
+_WAIT = 1 << 15
+_CELLS = 1 << 17
+_ROWS = 1024
+_SLICE = 1 << 18
+WINDOW = 128
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -58,8 +60,6 @@ class PieceModel:
     longest: int
     bpe: bool
     seen: np.ndarray  # by the top 20 bits of a hash: whether a piece has them
-    merges: dict[str, tuple[int, int]] = field(default_factory=dict)  # piece -> (rank, id)
-    pieces: dict[str, int] = field(default_factory=dict)  # usable piece -> id
 
     @property
     def size(self) -> int:
@@ -77,27 +77,16 @@ def _hash(codes: np.ndarray) -> np.uint64:
 def merge_word(word: str, merges: dict[str, tuple[int, int]]) -> tuple[list[str], tuple[str, str] | None]:
     """(pieces, halves of the last merge) of merging the best pair, leftmost first, until none is left.
 
-    A heap of pairs over a linked list, so that long words take n log n steps.
+    Only the pieces of a model go through it, when its tables are made.
     """
-    parts: list[str | None] = list(word)
-    n, last = len(parts), None
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(merges[a + b][0], i, a + b) for i, (a, b) in enumerate(zip(word, word[1:])) if a + b in merges]
-    heapq.heapify(heap)
-    while heap:
-        _, i, made = heapq.heappop(heap)
-        j = after[i] if parts[i] is not None else n
-        if j >= n or parts[i] + parts[j] != made:
-            continue  # one of the two was merged elsewhere
-        last = (parts[i], parts[j])
-        parts[i], parts[j] = made, None
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
-        for a, b in ((before[i], i), (i, after[i])):
-            if a >= 0 and b < n and (both := parts[a] + parts[b]) in merges:
-                heapq.heappush(heap, (merges[both][0], a, both))
-    return [p for p in parts if p is not None], last
+    parts, last = list(word), None
+    while True:
+        best = min(((merges[a + b][0], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in merges), default=None)
+        if best is None:
+            return parts, last
+        i = best[1]
+        last = (parts[i], parts[i + 1])
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
 @lru_cache(maxsize=2)
@@ -144,7 +133,7 @@ def load(path: str = MODEL, bpe: bool = True) -> PieceModel:
     for i in range(n):
         b = bytes([int(text[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else text[i].replace(MARK, " ").encode()
         out.append(b)
-    return PieceModel(keys[o], np.array(usable)[o], scores, rank, left, right, np.array([k for k, _ in pairs], np.int64), np.array([i for _, i in pairs], np.int64), byte_ids, np.frombuffer(b"".join(out), np.uint8), np.r_[0, np.cumsum([len(b) for b in out])].astype(np.int64), max((len(text[i]) for i in usable), default=1), bpe, _seen(keys), ranks, {text[i]: i for i in usable})
+    return PieceModel(keys[o], np.array(usable)[o], scores, rank, left, right, np.array([k for k, _ in pairs], np.int64), np.array([i for _, i in pairs], np.int64), byte_ids, np.frombuffer(b"".join(out), np.uint8), np.r_[0, np.cumsum([len(b) for b in out])].astype(np.int64), max((len(text[i]) for i in usable), default=1), bpe, _seen(keys))
 
 
 def _seen(keys: np.ndarray) -> np.ndarray:
@@ -187,10 +176,12 @@ def apart(model: PieceModel, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return result
 
 
-def viterbi(model: PieceModel, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(piece ending, start) at each end of a piece for words of one length, (words, length + 1).
+def viterbi(model: PieceModel, codes: np.ndarray, seed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(piece ending, its start) at each end of a piece for words of one length, (words, length + 1).
 
-    Characters without a piece have the id ``size`` plus their code point.
+    Characters without a piece have the id ``size`` plus their code point.  ``seed`` holds
+    the pieces that end after the first ``longest`` characters, where these belong to what
+    came before; the path then goes on from there (BPE only).
     """
     m, length = codes.shape
     mixed = tk.mix(codes.astype(np.uint64) + np.uint64(1))
@@ -198,16 +189,21 @@ def viterbi(model: PieceModel, codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     prefix = np.zeros((m, length + 1), np.uint64)
     for i in range(length):
         prefix[:, i + 1] = prefix[:, i] * _BASE + mixed[:, i]
-    piece = np.full((m, length + 1), -1, np.int64)
-    back = np.zeros((m, length + 1), np.int64)
-    best = np.full((m, length + 1), -np.inf)
-    best[:, 0] = 0
-    for end in range(1, length + 1):
-        for size in range(min(model.longest, end), 0, -1):
+    piece = np.full((m, length + 1), -1, np.int32)
+    back = np.zeros((m, length + 1), np.int32)
+    first = 1
+    if seed is not None:
+        first = seed.shape[1] + 1
+        piece[:, 1:first] = seed
+    best = None
+    if not model.bpe:
+        best = np.full((m, length + 1), -np.inf)
+        best[:, 0] = 0
+    every = np.arange(m)
+    for end in range(first, length + 1):
+        for size in range(min(model.longest, end - (first > 1)), 0, -1):
             start = end - size
-            rows = np.flatnonzero(best[:, start] > -np.inf)
-            if model.bpe:
-                rows = rows[piece[rows, end] < 0]
+            rows = every[piece[:, end] < 0] if model.bpe else np.flatnonzero(best[:, start] > -np.inf)
             if not len(rows):
                 continue
             wanted = prefix[rows, end] - prefix[rows, start] * power[size]
@@ -224,39 +220,19 @@ def viterbi(model: PieceModel, codes: np.ndarray) -> tuple[np.ndarray, np.ndarra
             if not len(rows):
                 continue
             if model.bpe:
-                if start and len(rows):
-                    fits = apart(model, piece[rows, start], found)
+                if start:
+                    fits = apart(model, piece[rows, start].astype(np.int64), found)
                     rows, found = rows[fits], found[fits]
-                value = best[rows, start]
             else:
                 known = found < model.size
                 value = best[rows, start] + np.where(known, model.scores[np.where(known, found, 0)], model.scores.min() - 10)
-            more = value > best[rows, end]
-            rows, found = rows[more], found[more]
-            best[rows, end], piece[rows, end], back[rows, end] = value[more], found, start
+                more = value > best[rows, end]
+                rows, found = rows[more], found[more]
+                best[rows, end] = value[more]
+            piece[rows, end], back[rows, end] = found, start
     return piece, back
 
 
-def long_word(model: PieceModel, text: str) -> list[int]:
-    """The path of the greatest sum for a single long word, a position at a time."""
-    best, piece, back = [-np.inf] * (len(text) + 1), [-1] * (len(text) + 1), [0] * (len(text) + 1)
-    best[0] = 0.0
-    unknown = float(model.scores.min()) - 10
-    for end in range(1, len(text) + 1):
-        for start in range(max(0, end - model.longest), end):
-            found = model.pieces.get(text[start:end], -1)
-            if found < 0 and end - start > 1:
-                continue
-            value = best[start] + (model.scores[found] if found >= 0 else unknown)
-            if value > best[end]:
-                best[end], piece[end], back[end] = value, found if found >= 0 else model.size + ord(text[start]), start
-    out, at = [], len(text)
-    while at:
-        out.append(piece[at])
-        at = back[at]
-    return out[::-1]
-
-
 def _trace(piece: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place from the end, piece) of the paths' pieces."""
     at = np.full(len(piece), piece.shape[1] - 1)
@@ -272,35 +248,66 @@ def _trace(piece: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(rows), np.concatenate(steps), np.concatenate(found)
 
 
+def windowed(model: PieceModel, word: np.ndarray) -> np.ndarray:
+    """The pieces of one word of more than ``WINDOW`` characters, by the Viterbi over its windows.
+
+    Whether a piece may end somewhere depends on the pieces that end at the ``longest``
+    characters before alone.  All windows advance together, each from a little before its
+    beginning as if a word began there.  Where a window agrees with its predecessor on
+    ``longest`` ends in a row, it agrees from there on; where it doesn't, it is done again
+    from its predecessor's state.
+    """
+    n, v = len(word), model.longest
+    width, lead = max(WINDOW, 2 * v), v + v // 2
+    piece, back = np.full(n + 1, -1, np.int32), np.zeros(n + 1, np.int32)
+    head, head_back = viterbi(model, word[None, :width])
+    piece[: head.shape[1]], back[: head.shape[1]] = head[0], head_back[0]
+    starts = np.arange(width, n, width)
+    step = max(1, _CELLS // (lead + width))
+    done: dict[tuple[bytes, bytes], tuple[np.ndarray, np.ndarray]] = {}
+    for k in range(0, len(starts), step):
+        part = starts[k : k + step]
+        full = part[part + width <= n]
+        tables = list(zip(*viterbi(model, word[full[:, None] - lead + np.arange(lead + width)]))) if len(full) else []
+        for i, at in enumerate(part.tolist()):
+            end = min(at + width, n)
+            if i < len(tables) and (tables[i][0][lead - v + 1 : lead + 1] == piece[at - v + 1 : at + 1]).all():
+                piece[at + 1 : end + 1] = tables[i][0][lead + 1 :]
+                back[at + 1 : end + 1] = tables[i][1][lead + 1 :] + (at - lead)
+            else:
+                state = (word[at - v : end].tobytes(), piece[at - v + 1 : at + 1].tobytes())
+                if state not in done:  # periodic words come to the same states again
+                    done[state] = viterbi(model, word[None, at - v : end], piece[None, at - v + 1 : at + 1])
+                again, again_back = done[state]
+                piece[at + 1 : end + 1] = again[0, v + 1 :]
+                back[at + 1 : end + 1] = again_back[0, v + 1 :] + (at - v)
+    out, at, ids, from_ = [], n, piece.tolist(), back.tolist()
+    while at:
+        out.append(ids[at])
+        at = from_[at]
+    return np.array(out[::-1], np.int64)
+
+
 def encode_words(model: PieceModel, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ids of each word) of words given as code points one after another; spaces are marks."""
     begin = np.cumsum(lengths) - lengths
-    inner = np.zeros(len(codes) + 1, bool)
-    inner[1:-1] = (codes[1:] == ord(MARK)) & (codes[:-1] == ord(MARK))
-    inner[begin[begin < len(codes)]] = False
-    odd = np.zeros(len(lengths), bool)
-    odd[np.searchsorted(begin, np.flatnonzero(inner[:-1]), side="right") - 1] = model.bpe
-    odd |= lengths > LONG
+    long = (lengths > WINDOW) & model.bpe
     word, place, ids = [], [], []
-    for length in np.unique(lengths[~odd]):
-        rows = np.flatnonzero((lengths == length) & ~odd)
-        step = max(1, _BATCH * 16 // int(length))
+    for length in np.unique(lengths[~long]):
+        rows = np.flatnonzero((lengths == length) & ~long)
+        step = max(1, _CELLS // int(length))
         for k in range(0, len(rows), step):
             part = rows[k : k + step]
             piece, back = viterbi(model, codes[begin[part][:, None] + np.arange(length)])
             r, s, found = _trace(piece, back)
             word.append(part[r])
             place.append(-s)
-            ids.append(found)
-    for w in np.flatnonzero(odd):
-        text = codes[begin[w] : begin[w] + lengths[w]].tobytes().decode("utf-32-le")
-        if model.bpe:
-            out = [model.merges[p][1] if len(p) > 1 else model.pieces.get(p, model.size + ord(p)) for p in merge_word(text, model.merges)[0]]
-        else:
-            out = long_word(model, text)
+            ids.append(found.astype(np.int64))
+    for w in np.flatnonzero(long):
+        out = windowed(model, codes[begin[w] : begin[w] + lengths[w]])
         word.append(np.full(len(out), w))
         place.append(np.arange(len(out)) - len(out))
-        ids.append(np.array(out))
+        ids.append(out)
     if not word:
         return np.zeros(0, np.int64), np.zeros(len(lengths), np.int64)
     word, place, ids = np.concatenate(word), np.concatenate(place), np.concatenate(ids)
@@ -360,7 +367,7 @@ class Encoder:
         grown, _, begin, end = self._words(data, offsets)
         if not len(begin):
             return
-        if len(self.names) > CACHE_WORDS:
+        if len(self.names) > 2 * CACHE_WORDS:
             self._clear()
         distinct, first = np.unique(tk.span_hashes(grown, begin, end), return_index=True)
         new = np.flatnonzero(self._slots(distinct) < 0)
@@ -429,12 +436,14 @@ def encoded(docs: DataFrame, model: PieceModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
-        for batch in batches:
+        for batch in tk.parts(batches, _ROWS):
             raw = batch.column("text")
             texts = pc.replace_substring(raw, MARK, " ") if pc.any(pc.match_substring(raw, MARK)).as_py() else raw
-            for _, _, data, offsets in tk.slices(texts):
+            if len(encoder.names) > CACHE_WORDS:
+                encoder = Encoder(model)
+            for _, _, data, offsets in tk.slices(texts, _SLICE):
                 encoder.learn(data, offsets)
-            for i, j, data, offsets in tk.slices(texts):
+            for i, j, data, offsets in tk.slices(texts, _SLICE):
                 ids, before = encoder.encode(data, offsets)
                 back, ends = decode(model, ids, before)
                 same = len(back) == len(data) and bool((back == data).all()) and bool((ends == offsets).all())

@@ -7,12 +7,17 @@ not follow the Arrow batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
 U64 = np.uint64
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -74,6 +79,21 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows; at the end freed memory goes back to the machine."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words before each row) of the maximal runs of bytes that aren't ASCII white space."""
     if len(data) == 0:

@@ -136,6 +136,15 @@ def test_pieces_equal_the_library():
     assert encode(texts) == SP.encode(texts)
 
 
+def test_long_words_equal_the_library():
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rng.choice(letters) for _ in range(100_000)), "the" * 2000, "-" * 700, " " * 300 + "x", "日本語" * 500, "=-" * 200 + "x" * 130, "\n" * 400]
+    texts += [" " * n + w for n in (2, 14, 15, 16, 17, 31, 33) for w in ("", "word", "x")]
+    texts += ["".join(rng.choice(["th", "e", "ing", "an", "q"]) for _ in range(n)) for n in range(60, 130)]
+    assert encode(texts) == SP.encode(texts)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.characters(exclude_categories=("Cs",), exclude_characters="▁"), max_size=60))
 def test_pieces_round_trip_and_equal_the_library(text):

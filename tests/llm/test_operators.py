@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import blocks, exact_dedup, html_extract, language, mixing, mtree, near_dedup, pieces, quality, secrets, suffix_dedup
@@ -191,17 +192,22 @@ def test_nearest(spark):
 
 
 def test_nearest_across_cells(spark, monkeypatch):
-    monkeypatch.setattr(mtree, "CELL", 32)
-    monkeypatch.setattr(mtree, "QUERIES", 100)
+    """More levels, rings and chunks than tables of this size need; a third of the rows are one vector."""
+    for name, value in {"CELL": 8, "QUERIES": 100, "NODE": 16, "FANOUT": 8, "PIVOTS": 24, "RINGS": 4}.items():
+        monkeypatch.setattr(mtree, name, value)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 5)) + rng.integers(0, 4, size=(400, 1)) * 3
-    got = mtree.nearest(spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(400)], "vec_id long, embedding array<double>"), k=3).collect()
-    real = np.round(mtree.distances(x, x), 6)
+    x[:130] = x[0]
+    x = x.astype(np.float32)
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(400)] + [(7, [float(v) for v in x[7]])], "vec_id long, embedding array<float>")
+    real = np.round(mtree.distances(x.astype(np.float64), x.astype(np.float64)), 6)
     np.fill_diagonal(real, np.inf)
-    assert len(got) == 1200
-    for r in got:
-        order = np.lexsort((np.arange(400), real[r["vec_id"]]))
-        assert order[r["rank"] - 1] == r["neighbor_id"]
+    for asked, ids in ((None, range(400)), (F.col("vec_id") % 50 == 0, range(0, 400, 50))):
+        got = mtree.nearest(rows, k=3, asked=asked).collect()
+        assert Counter(r["vec_id"] for r in got) == Counter({i: 3 for i in ids})
+        for r in got:
+            order = np.lexsort((np.arange(400), real[r["vec_id"]]))
+            assert order[r["rank"] - 1] == r["neighbor_id"]
 
 
 def test_quality(spark, docs, corpus):
