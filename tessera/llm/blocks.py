@@ -53,6 +53,23 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under the names c0, c1, ..., which clash with none that an operator adds, and these names by the old ones."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
+def named(rows: DataFrame, df: DataFrame, **more: str) -> DataFrame:
+    """The columns of ``df`` of rows made from ``plain(df)``, under their old names, and ``more`` (column by
+    name); a name that ``df`` has itself gets underscores."""
+    free = []
+    for name in more:
+        while name.lower() in {c.lower() for c in df.columns}:
+            name += "_"
+        free.append(name)
+    return rows.select(*[f"c{i}" for i in range(len(df.columns))], *more.values()).toDF(*df.columns, *free)
+
+
 class Scatter:
     """Buffers records and yields one row per bucket with a binary column per field."""
 

@@ -22,7 +22,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import partitions
+from tessera.llm.blocks import named, partitions, plain
 
 LEAD = 24
 NO_ID = np.iinfo(np.int64).max
@@ -171,12 +171,12 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     repeat doc_id and text exactly one stays.  Rows with a null text all stay.
     """
     n = partitions(docs.sparkSession)
-    others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*[docs[c] for c in others]).alias("rest"))
+    flat, at = plain(docs)
+    rows = flat.select(F.col(at["doc_id"]).cast("long").alias("id"), F.col(at["text"]).cast("string").alias("text"), F.struct(*[c for c in flat.columns if c != at["text"]]).alias("rest"))
     schema = f"id long, text string, rest {_ddl(rows)}"
     split = rows.mapInArrow(lambda it: _first_rows(it, True), schema + ", digit_len long, digit_lead binary")
     first = split.repartition(n, "digit_len", "digit_lead").select("id", "text", "rest").mapInArrow(_first_of_all, schema)
-    return first.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
+    return named(first.select(*[F.col("text").cast(flat.schema[c].dataType).alias(c) if c == at["text"] else F.col("rest").getField(c).alias(c) for c in flat.columns]), docs)
 
 
 def _ddl(rows: DataFrame) -> str:

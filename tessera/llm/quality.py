@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.blocks import named, plain
+
 MAX_LABELS = 8000
 THRESHOLD = 0.5
 
@@ -28,13 +30,13 @@ _CLASSES = {"upper": r"\p{Lu}", "symbols": r"%&$*#@^~|<>{}\[\]=+_\\", "marks": "
 _PER_CHARACTER = ("upper", "symbols", "marks", "digits")
 
 
-def with_statistics(docs: DataFrame, used: set[str]) -> DataFrame:
+def with_statistics(docs: DataFrame, used: set[str], text: str = "text") -> DataFrame:
     """``docs`` with a struct __stats of the ``used`` statistics over whole texts.
 
     Words and counts pass through one-element generators, which the optimizer does not
     merge with what reads them, so that each is computed once a row.
     """
-    t = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    t = F.coalesce(docs[text].cast("string"), F.lit(""))
     words = F.filter(F.split(t, r"\s+"), lambda w: w != "") if used - set(_PER_CHARACTER) else F.array().cast("array<string>")
     wide = docs.select("*", F.explode(F.array(words)).alias("__words"))
 
@@ -181,15 +183,16 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> R
     return fit(stats, q)
 
 
-def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
+def scored(docs: DataFrame, model: RuleModel, text: str = "text") -> DataFrame:
     """``docs`` with a column __score; only the statistics that a rule reads are computed."""
     used = {name for rule in model.rules for name, _, _ in rule}
     if not used:
         return docs.withColumn("__score", F.lit(float(1 / (1 + np.exp(-model.intercept)))))
-    wide = with_statistics(docs, used)
+    wide = with_statistics(docs, used, text)
     return wide.withColumn("__score", model.column({k: F.col("__stats").getField(k) for k in used})).drop("__stats")
 
 
 def accepted(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``; all columns stay."""
-    return scored(docs, model).filter(F.col("__score") >= threshold).drop("__score")
+    rows, at = plain(docs)
+    return named(scored(rows, model, at["text"]).filter(F.col("__score") >= threshold), docs)

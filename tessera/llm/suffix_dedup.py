@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
-from tessera.llm.blocks import Scatter, blob, gather, partitions, runs
+from tessera.llm.blocks import Scatter, blob, gather, named, partitions, plain, runs
 
 MIN_WORDS = 50
 PERIOD = 31
@@ -259,5 +259,6 @@ def remove_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
             out.append(b"".join(parts).decode())
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["__id"]), "left")
-    return joined.select(*[without("text", "__cuts").alias("text") if c == "text" else docs[c] for c in docs.columns])
+    rows, at = plain(docs)
+    joined = rows.join(cuts, F.col(at["doc_id"]).cast("long").eqNullSafe(F.col("__id")), "left")
+    return named(joined.withColumn(at["text"], without(at["text"], "__cuts")), docs)

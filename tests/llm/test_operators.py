@@ -53,9 +53,8 @@ def docs(spark, corpus):
 
 def wide(docs):
     """Extra columns whose names operators might use themselves."""
-    from pyspark.sql import functions as F
-
-    names = ["id", "rest", "bucket", "node", "root", "score", "rank", "shard", "home", "w", "n", "ids", "label", "position"]
+    names = ["id", "rest", "bucket", "node", "root", "score", "rank", "shard", "home", "w", "n", "ids", "label", "position", "tie", "range", "c0", "c1", "s", "g", "a.b", "__gone", "__id"]
+    names += ["__source", "__rank", "__tie", "__range", "__s", "__score", "__stats", "__words", "__counts", "__cuts", "__shard", "__position", "digit_len", "digit_lead"]
     return docs.select("*", *[F.lit(k).alias(name) for k, name in enumerate(names)])
 
 
@@ -145,20 +144,20 @@ def test_short_minimum_is_refused(docs):
 
 
 def test_mixing(spark):
-    rows = [row(i, f"t{i}", "big") for i in range(800)] + [row(2000 + i, f"u{i}", "small") for i in range(90)] + [row(3000, None, None), row(None, "x", "small"), row(3001, "", "other")]
+    rows = [row(i, f"t{i}", "big") for i in range(800)] + [row(2000 + i, f"u{i}", "small") for i in range(90)] + [row(3000, None, None), row(None, "x", "small"), row(3001, "", "other"), row(-2**63, "low", "small"), row(2**63 - 1, "high", "small")]
     rows += [rows[0], rows[0]]
     docs = wide(spark.createDataFrame(rows, DOCS))
     got = mixing.mix(docs, {"big": 3.0, "small": 1.0, "absent": 5.0}, docs_per_shard=64).collect()
     counts = Counter(r["source"] for r in got)
-    blocks_small = -(-91 // mixing.BLOCK)
-    assert set(counts) == {"big", "small"} and abs(counts["small"] - 91) <= mixing.BLOCK
+    blocks_small = -(-93 // mixing.BLOCK)
+    assert set(counts) == {"big", "small"} and abs(counts["small"] - 93) <= mixing.BLOCK
     assert abs(counts["big"] - 3 * blocks_small * mixing.BLOCK) <= 3 * mixing.BLOCK
     assert max(Counter((r["doc_id"], r["text"]) for r in got).values()) <= 3
     per = defaultdict(list)
     for r in got:
-        per[r["__shard"]].append(r["__position"])
+        per[r["__shard_"]].append(r["__position_"])
     assert all(sorted(p) == list(range(len(p))) for p in per.values()) and len(per) > 3
-    assert sum({r["source"] for r in got if r["__shard"] == k} == {"big", "small"} for k in per) > 0.7 * len(per)
+    assert sum({r["source"] for r in got if r["__shard_"] == k} == {"big", "small"} for k in per) > 0.7 * len(per)
     again = mixing.mix(docs, {"big": 3.0, "small": 1.0, "absent": 5.0}, docs_per_shard=64).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     other = mixing.mix(docs, {"big": 3.0, "small": 1.0}, docs_per_shard=64, seed=9).collect()
