@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import CitationError
 from tessera.functions import text as T
+from tessera.plans.snapshot import written
 
 ABSTAIN = "ABSTAIN"
 EXCERPT = 200
@@ -86,8 +87,8 @@ def answer(queries: DataFrame, evidence: DataFrame, hits: DataFrame, generate: C
             text = [None if a else generate(m) for a, m in zip(batch["abstain"], batch["message"])]
             yield pd.DataFrame({"query_id": batch["query_id"], "early": batch["abstain"], "raw": text})
 
-    # written to one place first: a generator must not be asked twice for a query
-    raw = message.mapInPandas(run, "query_id string, early boolean, raw string").persist()
+    # written once: a generator must not be asked twice for a query, even if an executor is lost
+    raw = written(message.mapInPandas(run, "query_id string, early boolean, raw string"))
     late = post_abstain(F.col("raw"))
     texts = raw.select("query_id", F.when(F.col("early") | late, F.lit(None)).otherwise(F.col("raw")).alias("answer_text"), "early", late.alias("late"))
     if strict and (bad := unknown_labels(texts, shown).limit(5).collect()):

@@ -130,6 +130,13 @@ def active_only(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     return hits.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
 
 
+def checked(vectors: DataFrame, dimension: int, kind: str = "cosine") -> DataFrame:
+    """``vectors``; one of another dimension, with a component that isn't a number, or for cosines not of norm 1 fails the job."""
+    wrong = problem(F.col("vector"), dimension, kind)
+    said = F.concat(F.lit("vector of "), F.col("chunk_id"), F.lit(": "), wrong)
+    return vectors.withColumn("vector", F.when(wrong.isNotNull(), F.raise_error(said)).otherwise(F.col("vector")))
+
+
 def encode_vector(vector: Column) -> Column:
     """Little-endian float32 bytes of a vector."""
 

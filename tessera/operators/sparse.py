@@ -1,15 +1,21 @@
 """Sparse retrieval: BM25 with phrases and branches over a postings table.
 
-``postings`` is built once per snapshot.  A query becomes branches of phrases: one branch
-holds all content words and only counts where each of its phrases occurs; every exact
-technical name is a branch of its own.  Queries without a hit are asked again with every
-word as a branch.  All of it is joins and aggregates keyed by query, so that a batch of
-queries is one plan.
+``postings`` is made once per snapshot, row by row: a chunk's task has all its tokens, so
+nothing is shuffled, and each distinct term of a batch is stemmed once.  A query becomes
+branches of phrases: one branch holds all content words and only counts where each of its
+phrases occurs; every exact technical name is a branch of its own.  Queries without a hit
+are answered with every word as a branch.  Both come from one pass over the postings of
+the batch's terms: a query's words are the same phrases either way.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +27,7 @@ FIELDS = ("text", "heading", "code")
 WEIGHTS = (1.0, 10.0, 5.0)
 EVEN = (1.0, 1.0, 1.0)
 DEFAULT_K = 10
+POSTINGS = "corpus_id string, chunk_id string, revision_id string, field tinyint, term string, positions array<int>, length bigint"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -40,86 +47,110 @@ def tokens(text: Column, stemmed: bool = True) -> Column:
     return stems(parts)
 
 
-def postings(chunks: DataFrame, stemmed: bool = True) -> DataFrame:
-    """(corpus_id, chunk_id, field, term, positions) of chunks (corpus_id, chunk_id, text, heading, code)."""
-    fields = F.array(*[F.struct(F.lit(i).cast("byte").alias("field"), tokens(F.col(name), stemmed).alias("tokens")) for i, name in enumerate(FIELDS)])
-    each = chunks.select("corpus_id", "chunk_id", F.explode(fields).alias("f"))
-    each = each.select("corpus_id", "chunk_id", "f.field", F.posexplode("f.tokens").alias("pos", "term"))
-    return each.groupBy("corpus_id", "chunk_id", "field", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+def _posted(batches: Iterator[pa.RecordBatch], stemmed: bool) -> Iterator[pa.RecordBatch]:
+    """The postings of chunks whose fields are lists of tokens."""
+    for batch in batches:
+        for field in range(len(FIELDS)):
+            lists = batch.column(FIELDS[field])
+            count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), count)
+            if not len(row):
+                continue
+            place = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+            coded = pc.dictionary_encode(pc.list_flatten(lists))
+            code, words = coded.indices.to_numpy(), coded.dictionary
+            if stemmed:
+                merged = pc.dictionary_encode(pa.array([stem(w) for w in words.to_pylist()], pa.string()))
+                code, words = merged.indices.to_numpy()[code], merged.dictionary
+            order = np.lexsort((place, code, row))
+            r, c = row[order], code[order]
+            first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (c[1:] != c[:-1])])
+            at = pa.array(r[first])
+            positions = pa.ListArray.from_arrays(pa.array(np.r_[first, len(r)], pa.int32()), pa.array(place[order]))
+            columns = [batch.column("corpus_id").take(at), batch.column("chunk_id").take(at), batch.column("revision_id").take(at), pa.array(np.full(len(first), field, np.int8)), words.take(pa.array(c[first])), positions, batch.column("length").take(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in POSTINGS.split(", ")])
 
 
-def lengths(posts: DataFrame) -> DataFrame:
-    """(chunk_id, length): tokens over all fields."""
-    return posts.groupBy("chunk_id").agg(F.sum(F.size("positions")).cast("long").alias("length"))
+def postings(chunks: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(corpus_id, chunk_id, revision_id, field, term, positions, length) of chunks (corpus_id, chunk_id,
+    text, heading, code and perhaps revision_id); length counts the chunk's tokens over all fields."""
+    revision = F.col("revision_id") if "revision_id" in chunks.columns else F.lit(None).cast("string")
+    rows = chunks.select("corpus_id", "chunk_id", revision.alias("revision_id"), *[tokens(F.col(name), False).alias(name) for name in FIELDS])
+    rows = rows.withColumn("length", sum((F.size(name) for name in FIELDS[1:]), F.size(FIELDS[0])).cast("bigint"))
+    return rows.mapInArrow(lambda it: _posted(it, stemmed), POSTINGS)
 
 
-def statistics(chunks: DataFrame, lens: DataFrame) -> DataFrame:
-    """One row (n_docs, avg_len) over all corpora; chunks without a token count as well."""
-    n = chunks.agg(F.count(F.lit(1)).alias("n_docs"))
-    return n.crossJoin(lens.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("total"))).select("n_docs", (F.col("total") / F.greatest("n_docs", F.lit(1))).cast("double").alias("avg_len"))
+def statistics(chunks: DataFrame) -> DataFrame:
+    """One row (n_docs, total) over all corpora: chunks, those without a token too, and their tokens."""
+    size = sum((F.size(tokens(F.col(name), False)) for name in FIELDS[1:]), F.size(tokens(F.col(FIELDS[0]), False)))
+    return chunks.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("total"))
 
 
-def phrases(queries: DataFrame, stemmed: bool = True, any_word: bool = False) -> DataFrame:
+def phrases(queries: DataFrame, stemmed: bool = True) -> DataFrame:
     """(query_id, corpus_id, top_k, branch, phrase, terms): the phrases of each query's branches.
 
-    Branch 0 holds the content words; each boosted name, or with ``any_word`` each content
-    word, is a branch.  Words without an index token are dropped.
+    Branch 0 holds the content words; each boosted name is a branch.  Words without an
+    index token are dropped.
     """
-    content = T.content_words(F.col("text"))
-    if any_word:
-        made = F.transform(content, lambda w, i: F.struct(i.alias("branch"), F.lit(0).alias("phrase"), w.alias("word")))
-    else:
-        base = F.transform(content, lambda w, i: F.struct(F.lit(0).alias("branch"), i.alias("phrase"), w.alias("word")))
-        boost = F.transform(T.boost_words(F.col("text")), lambda w, i: F.struct((i + 1).alias("branch"), F.lit(0).alias("phrase"), w.alias("word")))
-        made = F.concat(base, boost)
-    flat = queries.select("query_id", "corpus_id", "top_k", F.explode(made).alias("p"))
+    base = F.transform(T.content_words(F.col("text")), lambda w, i: F.struct(F.lit(0).alias("branch"), i.alias("phrase"), w.alias("word")))
+    boost = F.transform(T.boost_words(F.col("text")), lambda w, i: F.struct((i + 1).alias("branch"), F.lit(0).alias("phrase"), w.alias("word")))
+    flat = queries.select("query_id", "corpus_id", "top_k", F.explode(F.concat(base, boost)).alias("p"))
     flat = flat.select("query_id", "corpus_id", "top_k", "p.branch", "p.phrase", tokens(F.col("p.word"), stemmed).alias("terms"))
     return flat.filter(F.size("terms") > 0)
 
 
-def scores(asked: DataFrame, posts: DataFrame, lens: DataFrame, stats: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """(query_id, corpus_id, top_k, chunk_id, chunk_corpus, score) of all chunks that match."""
-    need = asked.groupBy("query_id", "branch").agg(F.count(F.lit(1)).alias("need"))
+def scores(asked: DataFrame, posts: DataFrame, stats: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """(query_id, chunk_id, strict, score, top_k) of all chunks with a phrase of a query (``phrases``).
+
+    ``strict`` says whether a branch holds: then the score sums the branches that do, else
+    all content words.
+    """
     # phrases are looked up once, however many queries have them
     wanted = asked.select("terms").distinct()
-    steps = wanted.select("terms", F.posexplode("terms").alias("step", "term"))
-    hits = steps.join(posts, "term").select("terms", "chunk_id", "corpus_id", "field", F.explode(F.transform("positions", lambda p: p - F.col("step"))).alias("anchor"))
-    whole = hits.groupBy("terms", "chunk_id", "corpus_id", "field", "anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == F.size("terms"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("field").cast("int") + 1)
-    tf = whole.groupBy("terms", "chunk_id", "corpus_id").agg(F.sum(weight).alias("tf"))
+    one = wanted.filter(F.size("terms") == 1).select("terms", F.col("terms")[0].alias("term"))
+    single = posts.join(one, "term").select("terms", "chunk_id", "corpus_id", "length", (weight * F.size("positions")).alias("w"))
+    steps = wanted.filter(F.size("terms") > 1).select("terms", F.posexplode("terms").alias("step", "term"))
+    hits = posts.join(steps, "term").select("terms", "chunk_id", "corpus_id", "length", "field", F.explode(F.transform("positions", lambda p: p - F.col("step"))).alias("anchor"))
+    whole = hits.groupBy("terms", "chunk_id", "corpus_id", "length", "field", "anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == F.size("terms"))
+    tf = single.unionByName(whole.select("terms", "chunk_id", "corpus_id", "length", weight.alias("w"))).groupBy("terms", "chunk_id", "corpus_id", "length").agg(F.sum("w").alias("tf"))
     df = tf.groupBy("terms").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # the table of statistics has one row
-    idf = df.crossJoin(F.broadcast(stats)).select("terms", "avg_len", F.when(raw <= 0, F.lit(1e-6)).otherwise(raw).alias("idf"))
+    idf = df.crossJoin(F.broadcast(stats)).select("terms", (F.col("total") / F.greatest("n_docs", F.lit(1))).alias("avg_len"), F.when(raw <= 0, F.lit(1e-6)).otherwise(raw).alias("idf"))
     norm = F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("avg_len"))
-    worth = tf.join(idf, "terms").join(lens, "chunk_id").select("terms", "chunk_id", F.col("corpus_id").alias("chunk_corpus"), (F.col("idf") * F.col("tf") * F.lit(K1 + 1) / norm).alias("part"))
-    matched = asked.join(worth, "terms").groupBy("query_id", "corpus_id", "top_k", "branch", "chunk_id", "chunk_corpus").agg(F.count(F.lit(1)).alias("have"), F.sum("part").alias("part"))
-    full = matched.join(need, ["query_id", "branch"]).filter("have = need")
-    return full.groupBy("query_id", "corpus_id", "top_k", "chunk_id", "chunk_corpus").agg(F.sum("part").alias("score"))
-
-
-def top(rows: DataFrame, score: str, default_k: int = DEFAULT_K, key: str = "chunk_id", digits: int | None = None) -> DataFrame:
-    """The best rows of each query with their 1-based rank; ties go to the lower key."""
+    worth = tf.join(idf, "terms").select("terms", "chunk_id", F.col("corpus_id").alias("chunk_corpus"), (F.col("idf") * F.col("tf") * F.lit(K1 + 1) / norm).alias("part"))
+    need = asked.groupBy("query_id").agg(F.count(F.when(F.col("branch") == 0, 1)).alias("need"))
+    inside = F.col("corpus_id").isNull() | (F.col("corpus_id") == F.col("chunk_corpus"))
+    base = F.col("branch") == 0
+    found = asked.join(need, "query_id").join(worth, "terms").filter(inside).groupBy("query_id", "chunk_id", "top_k", "need").agg(
+        F.count(F.when(base, 1)).alias("have"), F.coalesce(F.sum(F.when(base, F.col("part"))), F.lit(0.0)).alias("words"), F.sum(F.when(~base, F.col("part"))).alias("names")
+    )
+    every = (F.col("have") == F.col("need")) & (F.col("need") > 0)
+    score = F.when(every, F.col("words")).otherwise(F.lit(0.0)) + F.coalesce("names", F.lit(0.0))
+    strict = every | F.col("names").isNotNull()
+    return found.select("query_id", "chunk_id", "top_k", strict.alias("strict"), F.when(strict, score).otherwise(F.col("words")).alias("score"))
+
+
+def top(rows: DataFrame, score: str, default_k: int = DEFAULT_K, key: str = "chunk_id", digits: int | None = None, first: str | None = None) -> DataFrame:
+    """The best rows of each query with their 1-based rank; ties go to the lower key, rows that ``first`` holds for lead."""
     by = F.round(score, digits) if digits is not None else F.col(score)
-    order = Window.partitionBy("query_id").orderBy(by.desc(), F.col(key).asc())
+    lead = [F.col(first).desc()] if first is not None else []
+    order = Window.partitionBy("query_id").orderBy(*lead, by.desc(), F.col(key).asc())
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.coalesce("top_k", F.lit(default_k)))
 
 
-def retrieve(queries: DataFrame, posts: DataFrame, lens: DataFrame, stats: DataFrame, weights: tuple[float, ...] = WEIGHTS, stemmed: bool = True, sources: list[str] | None = None, chunk_sources: DataFrame | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, posts: DataFrame, stats: DataFrame, weights: tuple[float, ...] = WEIGHTS, stemmed: bool = True, sources: list[str] | None = None, chunk_sources: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, rank, sparse_score) for queries (query_id, text, corpus_id, top_k).
 
     A query's corpus restricts its hits, not the statistics.  ``sources`` filters the top
     hits after ranking, by ``chunk_sources`` (chunk_id, source_id).
     """
-
-    def ask(part: DataFrame, any_word: bool) -> DataFrame:
-        found = scores(phrases(part, stemmed, any_word), posts, lens, stats, weights)
-        return found.filter(F.col("corpus_id").isNull() | (F.col("corpus_id") == F.col("chunk_corpus")))
-
-    strict = ask(queries, False)
-    rest = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti")
     # sums differ in their last digits by the order of their terms, which must not break ties
-    hits = top(strict.unionByName(ask(rest, True)), "score", digits=9).select("query_id", "chunk_id", "rank", F.col("score").alias("sparse_score"))
+    best = top(scores(phrases(queries, stemmed), posts, stats, weights), "score", digits=9, first="strict")
+    # a query with a strict hit has no others
+    any_strict = F.max("strict").over(Window.partitionBy("query_id"))
+    hits = best.withColumn("any", any_strict).filter("strict OR NOT any").select("query_id", "chunk_id", "rank", F.col("score").alias("sparse_score"))
     if sources is not None:
         hits = hits.join(chunk_sources.filter(F.col("source_id").isin(*sources)).select("chunk_id"), "chunk_id", "left_semi")
     return hits

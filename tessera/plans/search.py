@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import context, dense, ranking, sparse
-from tessera.plans.snapshot import SnapshotStore
+from tessera.plans.snapshot import SnapshotStore, written
+from tessera.plans.sync import ensure_index
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,7 @@ class SearchPipeline:
 
     def __init__(self, store: SnapshotStore, settings: SearchSettings = SearchSettings(), embedder: object | None = None, reranker: Callable[[list[str], list[str]], list[float]] | None = None):
         self.store, self.settings, self.embedder, self.reranker = store, settings, embedder, reranker
+        ensure_index(store)
         self.snapshot = store.current()
 
     def _table(self, name: str) -> DataFrame:
@@ -75,7 +78,7 @@ class SearchPipeline:
         return SearchResult(hits, evidence, context.budget_summary(hits, packed, s.token_budget, s.overhead))
 
     def _legs(self, asked: DataFrame, chunks: DataFrame, s: SearchSettings, filters: ranking.FilterSpec | None) -> tuple[DataFrame, DataFrame]:
-        found = sparse.retrieve(asked.select("query_id", F.col("sparse_text").alias("text"), "corpus_id", "top_k"), self._table("postings"), self._table("lengths"), self._table("stats"))
+        found = sparse.retrieve(asked.select("query_id", F.col("sparse_text").alias("text"), "corpus_id", "top_k"), self._table("postings"), self._table("stats"))
         if self.embedder is None:
             near = found.select("query_id", "chunk_id", "rank", F.col("sparse_score").alias("dense_score")).limit(0)
         else:
@@ -87,8 +90,14 @@ class SearchPipeline:
         return found, near
 
     def _vectors(self, asked: DataFrame) -> DataFrame:
-        """The batch's query vectors, by one call of the embedder a batch."""
-        rows = asked.select("query_id", "dense_text", "corpus_id", "top_k").collect()
-        vectors = dense.embed_with_retries(self.embedder, [r[1] for r in rows]) if rows else []
-        data = [(str(r[0]), [float(x) for x in v], r[2], r[3]) for r, v in zip(rows, vectors)]
-        return self.store.spark.createDataFrame(data, "query_id string, query_vector array<double>, corpus_id string, top_k int")
+        """The query vectors, made by the executors in batches of the embedder's size."""
+        embedder = self.embedder
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                batch["query_vector"] = [[float(x) for x in v] for v in dense.embed_with_retries(embedder, batch.pop("dense_text").tolist())]
+                yield batch
+
+        rows = asked.select(F.col("query_id").cast("string").alias("query_id"), "corpus_id", F.col("top_k").cast("int").alias("top_k"), "dense_text")
+        # written once: an embedder must not be asked twice for a query
+        return written(rows.mapInPandas(run, "query_id string, corpus_id string, top_k int, query_vector array<double>"))

@@ -1,8 +1,10 @@
 """Incremental sync: scan, plan, parse, chunk, embed, validate, promote.
 
 Everything up to the promotion is DataFrames over the changed documents only; unchanged
-documents are listed and hashed, and nothing else is done for them.  Documents that
-can't be fetched or parsed keep their old rows, and the others go live together.
+documents are fetched, hashed and listed, and nothing else is done for them: chunks,
+embeddings and postings of the changed ones are a segment of their own, and statistics
+change by what came and went.  Documents that can't be fetched or parsed keep their old
+rows, and the others go live together.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ids
 from tessera.functions import text as T
-from tessera.operators import chunk, dense, parse, sparse
+from tessera.operators import chunk, dense, enrich, parse, sparse
 from tessera.plans import changes
 from tessera.plans.progress import Stages
 from tessera.plans.snapshot import SCHEMA_VERSION, SnapshotStore, now_iso
@@ -23,6 +25,7 @@ from tessera.sources.connectors import Connector
 
 SUCCESS, PARTIAL, FAILED = "success", "partial", "failed"
 _ERROR = "\x00error"
+SHOWN_ERRORS = 100
 
 
 @dataclass(frozen=True)
@@ -56,13 +59,17 @@ class SyncEngine:
     parser: str = "markdown"
     chunker: dict = field(default_factory=lambda: {"max_tokens": chunk.MAX_TOKENS, "overlap": chunk.OVERLAP})
     embedder: object | None = None
+    enricher: enrich.Enricher | None = None
+    #: whether sources that the connector doesn't list are deleted
+    whole: bool = True
+    compact_at: int = 64
     clock: Callable[[], str] = now_iso
     observer: Callable[[str, str, dict], None] | None = None
 
     @property
     def fingerprint(self) -> str:
         e = self.embedder
-        return ids.pipeline_fingerprint(f"{self.parser}-1", self.chunker, "", e.name if e else "", e.dimension if e else 0, SCHEMA_VERSION)
+        return ids.pipeline_fingerprint(f"{self.parser}-1", self.chunker, self.enricher.name if self.enricher else "", e.name if e else "", e.dimension if e else 0, SCHEMA_VERSION)
 
     def sync(self) -> SyncReport:
         spark, fp, stages = self.store.spark, self.fingerprint, Stages(self.observer)
@@ -77,9 +84,9 @@ class SyncEngine:
                 raw = self._stage_raw(spark, snapshot)
             with stages("plan"):
                 plan, counts = self._plan(raw, fp)
-            errors = [f"{r[0]}: {r[1]}" for r in raw.filter("error IS NOT NULL").select("uri", "error").orderBy("uri").collect()]
+            errors = self._log_errors(run["build_run_id"], raw.filter("error IS NOT NULL").select("uri", "error"))
             if counts["needs_work"]:
-                made = self._build(stages, snapshot, raw, plan, fp)
+                made = self._build(stages, snapshot, raw, plan, fp, run["build_run_id"])
                 errors += made.pop("errors")
                 promoted = made.pop("promoted")
                 report |= made
@@ -96,6 +103,16 @@ class SyncEngine:
         self.store.log_run(run | {"status": report["status"], "finished_at": self.clock(), "seq": 1, "errors": errors})
         return SyncReport(**report, errors=tuple(errors), timings=tuple(stages.timings))
 
+    def _log_errors(self, build_run: str, rows: DataFrame) -> list[str]:
+        """All (uri, error) go to the store's table of errors; the first of them are returned, with a count of the others."""
+        path = f"{self.store.root}/errors/{build_run}"
+        n = rows.count()
+        if not n:
+            return []
+        rows.toDF("uri", "error").write.mode("append").parquet(path)
+        some = [f"{r[0]}: {r[1]}" for r in rows.toDF("uri", "error").orderBy("uri").limit(SHOWN_ERRORS).collect()]
+        return some + [f"and {n - SHOWN_ERRORS} more in {path}"] * (n > SHOWN_ERRORS)
+
     def _stage_raw(self, spark: SparkSession, snapshot: str) -> DataFrame:
         """Fetched once: later stages read this table, not the source."""
         path = f"{self.store.root}/{snapshot}/_raw"
@@ -109,6 +126,7 @@ class SyncEngine:
         good = raw.filter("error IS NULL").select(F.col("uri").alias("canonical_uri"), "content_hash")
         failed = raw.filter("error IS NOT NULL").select(F.col("uri").alias("canonical_uri"))
         plan = changes.plan_changes(good, self._mine("pointers"), self._mine("revisions"), fp, failed)
+        plan = plan if self.whole else plan.filter(F.col("change") != changes.DELETED)
         return plan, changes.change_counts(plan).first().asDict()
 
     def _parser(self) -> Callable:
@@ -122,46 +140,49 @@ class SyncEngine:
 
         return safe
 
-    def _build(self, stages: Stages, snapshot: str, raw: DataFrame, plan: DataFrame, fp: str) -> dict:
+    def _build(self, stages: Stages, snapshot: str, raw: DataFrame, plan: DataFrame, fp: str, build_run: str) -> dict:
         store, corpus = self.store, self.corpus
         work = plan.filter(F.col("change").isin("new", "changed", "incompatible"))
         todo = raw.join(work.select(F.col("canonical_uri").alias("uri")), "uri")
         source = ids.source_id(corpus, F.col("uri"))
         todo = todo.withColumn("revision_id", ids.revision_id(source, F.col("content_hash"), fp))
         with stages("parse"):
-            found = parse.sections(todo.select("uri", "revision_id", "content"), self._parser()).persist()
+            made = parse.sections(todo.select("uri", "revision_id", "content"), self._parser())
+            made.write.parquet(f"{store.root}/{snapshot}/_sections")
+            found = store.spark.read.schema(made.schema).parquet(f"{store.root}/{snapshot}/_sections")
             bad = found.filter(F.col("locator") == _ERROR).select(F.col("source_id").alias("canonical_uri"), "text")
-            errors = [f"{r[0]}: {r[1]}" for r in bad.orderBy("canonical_uri").collect()]
+            errors = self._log_errors(build_run, bad)
         with stages("chunk"):
             pieces = chunk.chunks(found.filter(F.col("locator") != _ERROR), corpus, fp, self.chunker["max_tokens"], self.chunker["overlap"])
+            if self.enricher is not None:
+                pieces = enrich.enrich(pieces, self.enricher)
             done = todo.join(bad, todo["uri"] == bad["canonical_uri"], "left_anti")
             gone = done.select(F.col("uri").alias("canonical_uri")).unionByName(plan.filter("change = 'deleted'").select("canonical_uri")).withColumn("corpus_id", F.lit(corpus))
+            dead = store.table("pointers").join(gone, ["corpus_id", "canonical_uri"], "left_semi").select("revision_id")
 
             def keep(name: str) -> DataFrame:
                 return store.table(name).join(gone, ["corpus_id", "canonical_uri"], "left_anti")
 
-            old = store.table("chunks")
-            superseded = old.join(gone, ["corpus_id", "canonical_uri"], "left_semi").count()
-            new_rows = store.stage(snapshot, "chunks", keep("chunks").unionByName(pieces.select(*old.columns)))
-            chunk_rows = new_rows.join(done.select("revision_id"), "revision_id", "left_semi")
+            chunk_rows = store.stage(snapshot, "chunks", pieces)
+            old = store.table("chunks").join(dead, "revision_id", "left_semi")
+            superseded = old.count()
         with stages("embed"):
-            vectors = store.table("embeddings").join(new_rows.select("chunk_id"), "chunk_id", "left_semi")
             if self.embedder is not None:
-                cache = vectors.filter(F.col("model_name") == self.embedder.name).select("chunk_id", "vector")
-                made = dense.embed(chunk_rows.join(cache.select("chunk_id"), "chunk_id", "left_anti"), self.embedder)
-                vectors = vectors.unionByName(made)
-            vectors = store.stage(snapshot, "embeddings", vectors)
+                cache = store.table("embeddings").filter(F.col("model_name") == self.embedder.name).join(chunk_rows.select("chunk_id"), "chunk_id", "left_semi")
+                vectors = dense.embed(chunk_rows, self.embedder, cache.select("chunk_id", "vector"))
+                vectors = store.stage(snapshot, "embeddings", dense.checked(vectors, self.embedder.dimension, self.embedder.similarity))
         with stages("validate"):
-            expected = pieces.groupBy("revision_id").agg(F.count(F.lit(1)).alias("expected_chunks")).withColumn("pipeline_fingerprint", F.lit(fp))
-            mine = vectors.join(done.select("revision_id"), "revision_id", "left_semi") if self.embedder is not None else None
-            wrong = changes.validate_revisions(chunk_rows, mine, expected, fp, self.embedder.dimension if self.embedder else None).filter(F.size("errors") > 0)
+            expected = found.filter(F.col("locator") != _ERROR).select("revision_id").distinct().join(chunk_rows.groupBy("revision_id").agg(F.count(F.lit(1)).alias("n")), "revision_id", "left")
+            expected = expected.select("revision_id", F.coalesce("n", F.lit(0)).alias("expected_chunks"), F.lit(fp).alias("pipeline_fingerprint"))
+            wrong = changes.validate_revisions(chunk_rows, vectors if self.embedder is not None else None, expected, fp, self.embedder.dimension if self.embedder else None).filter(F.size("errors") > 0)
             if problems := wrong.limit(5).collect():
                 raise ValueError("; ".join(f"{r['revision_id']}: {', '.join(r['errors'])}" for r in problems))
         with stages("index"):
-            fields = new_rows.select("corpus_id", "chunk_id", "text", F.col("parent_locator").alias("heading"), T.code_content(F.col("text")).alias("code"))
-            posts = store.stage(snapshot, "postings", sparse.postings(fields))
-            lens = store.stage(snapshot, "lengths", sparse.lengths(posts))
-            store.stage(snapshot, "stats", sparse.statistics(new_rows, lens))
+            ensure_index(store)
+            store.stage(snapshot, "postings", sparse.postings(index_fields(chunk_rows)))
+            before, came, went = store.table("stats"), sparse.statistics(index_fields(chunk_rows)), sparse.statistics(index_fields(old))
+            store.stage(snapshot, "stats", before.unionByName(came).unionByName(went.select(-F.col("n_docs"), -F.col("total")).toDF("n_docs", "total")).agg(F.sum("n_docs").alias("n_docs"), F.sum("total").alias("total")))
+            store.inherit(snapshot, dead)
         with stages("promote"):
             at = self.clock()
             info = done.select(source.alias("source_id"), F.lit(corpus).alias("corpus_id"), F.col("uri").alias("canonical_uri"), "media_type", F.lit("").alias("title"))
@@ -172,5 +193,27 @@ class SyncEngine:
             store.stage(snapshot, "pointers", keep("pointers").unionByName(point))
             changed, added = gone.count(), chunk_rows.count()
             store.promote(snapshot)
-        found.unpersist()
+            store.files.delete(f"{store.root}/{snapshot}/_sections")
+        if len(store.segments()) > self.compact_at:
+            store.compact()
         return {"promoted": True, "errors": errors, "sources_changed": changed, "chunks_added": added, "chunks_deleted": superseded}
+
+
+def index_fields(chunks: DataFrame) -> DataFrame:
+    """The indexed fields of chunks: text, heading path and code."""
+    return chunks.select("corpus_id", "chunk_id", "revision_id", "text", F.col("parent_locator").alias("heading"), T.code_content(F.col("text")).alias("code"))
+
+
+def ensure_index(store: SnapshotStore) -> list[str]:
+    """Makes postings anew for the live segments that lack them, and lost statistics; returns what was made."""
+    made = []
+    for name in store.segments():
+        there = {t for t in ("chunks", "postings") if store.files.exists(f"{store.root}/segments/{name}/{t}")}
+        if "chunks" in there and "postings" not in there:
+            store._write(name, "postings", sparse.postings(index_fields(store.segment("chunks", name))))
+            made.append(name)
+    live = store.current()
+    if live and not store.files.exists(f"{store.root}/{live}/stats"):
+        store._write(live, "stats", sparse.statistics(index_fields(store.table("chunks"))))
+        made.append("stats")
+    return made

@@ -6,7 +6,6 @@ for chunk vectors and ``conversations`` for sections of ordered chunks.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -306,10 +305,9 @@ for _kind, _sql in (("cosine", "list_dot_product(q.e, v.e)"), ("dot", "list_dot_
 
 def _bm25(spark: SparkSession, d: str, stemmed: bool) -> DataFrame:
     rows = _t(spark, d, "documents").filter("text IS NOT NULL").select(F.lit("c").alias("corpus_id"), F.col("doc_id").cast("string").alias("chunk_id"), "text", F.lit("").alias("heading"), F.lit("").alias("code"))
-    posts = sparse.postings(rows, stemmed)
-    lens = sparse.lengths(posts)
     asked = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text", F.lit(None).cast("string").alias("corpus_id"), F.lit(None).cast("int").alias("top_k"))
-    return sparse.retrieve(asked, posts, lens, sparse.statistics(rows, lens), stemmed=stemmed)
+    posts = snapshot.written(sparse.postings(rows, stemmed))
+    return sparse.retrieve(asked, posts, sparse.statistics(rows), stemmed=stemmed)
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -555,9 +553,8 @@ def post_abstain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _store(spark: SparkSession) -> snapshot.SnapshotStore:
-    """A fresh store: under the shared folder where the cluster names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return snapshot.SnapshotStore(spark, f"{shared.rstrip('/')}/store-{snapshot.uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tessera-store-"))
+    """A fresh store in the shared folder."""
+    return snapshot.SnapshotStore(spark, f"{snapshot.shared_folder(spark)}/store-{snapshot.uuid.uuid4().hex}")
 
 
 def _synced(spark: SparkSession, d: str) -> tuple[snapshot.SnapshotStore, list]:

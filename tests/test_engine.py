@@ -39,10 +39,9 @@ def test_bm25_equals_the_full_text_index(spark):
     db.executemany("INSERT INTO f(rowid, text, heading, code) VALUES (?, ?, ?, ?)", [(i, *c[1:]) for i, c in enumerate(CHUNKS, 1)])
     chunks = spark.createDataFrame([("x" if i % 2 else "y", *c) for i, c in enumerate(CHUNKS)], "corpus_id string, chunk_id string, text string, heading string, code string")
     posts = sparse.postings(chunks).cache()
-    lens = sparse.lengths(posts)
     queries = spark.createDataFrame([(str(i), q, None, 10) for i, q in enumerate(ASKED)], "query_id string, text string, corpus_id string, top_k int")
     got = {}
-    for r in sparse.retrieve(queries, posts, lens, sparse.statistics(chunks, lens)).collect():
+    for r in sparse.retrieve(queries, posts, sparse.statistics(chunks)).collect():
         got.setdefault(int(r["query_id"]), {})[r["chunk_id"]] = r["sparse_score"]
     boosts = [r[0] for r in queries.orderBy(F.col("query_id").cast("int")).select(T.boost_words(F.col("text"))).collect()]
     for i, q in enumerate(ASKED):
@@ -56,7 +55,7 @@ def test_bm25_equals_the_full_text_index(spark):
         want = {CHUNKS[r - 1][0]: s for r, s in rows}
         assert got.get(i, {}).keys() == want.keys(), q
         assert all(abs(got[i][k] - s) < 1e-9 for k, s in want.items()), q
-    one = sparse.retrieve(queries.withColumn("corpus_id", F.lit("x")), posts, lens, sparse.statistics(chunks, lens))
+    one = sparse.retrieve(queries.withColumn("corpus_id", F.lit("x")), posts, sparse.statistics(chunks))
     assert {r["chunk_id"] for r in one.collect()} <= {"b", "d", "f"}
 
 
