@@ -146,7 +146,27 @@ class Catalog:
         return f"{self.root}/{check_name(alias)}{MARK}{uuid.uuid4().hex[:12]}"
 
     def write_index(self, path: str, points: DataFrame) -> None:
-        points.write.mode("append").parquet(path)
+        """Adds points to an index; a point of an id that is there replaces it, and of points written together any counts."""
+        n = len([f for f in self.files.list(path) if f.startswith("part=")])
+        points.dropDuplicates(["chunk_id"]).write.parquet(f"{path}/part={n}")
+
+    def read_index(self, path: str) -> DataFrame:
+        """The points of an index, of each id the last written."""
+        rows = self.spark.read.option("basePath", path).parquet(path)
+        parts = len(self.files.list(path))
+        if parts > 1:
+            newer = rows.select("chunk_id", "part").groupBy("chunk_id").agg(F.max("part").alias("part"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+            old = rows.select("chunk_id", "part").join(newer.withColumnRenamed("part", "last"), "chunk_id").filter("part < last").select("chunk_id", "part")
+            rows = rows.join(old, ["chunk_id", "part"], "left_anti")
+        return rows.drop("part")
+
+    def index_info(self, alias: str) -> dict:
+        """Folder, points and dimension of an alias's index; no folder where it points nowhere."""
+        at = self.resolve(alias)
+        if at is None:
+            return {"alias": alias, "path": None, "points": 0, "dimension": None}
+        n, size = self.read_index(at).agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+        return {"alias": alias, "path": at, "points": n, "dimension": size}
 
     def resolve(self, alias: str) -> str | None:
         return self._pointer()["aliases"].get(alias)
@@ -175,7 +195,7 @@ class Catalog:
         state["aliases"].pop(alias, None)
         self._save(state)
 
-    def query_index(self, alias: str, queries: DataFrame, k: int = 10, predicate: Column | None = None, threshold: float | None = None) -> DataFrame:
+    def query_index(self, alias: str, queries: DataFrame, k: int = 10, predicate: Column | None = None, threshold: float | None = None, digits: int | None = None) -> DataFrame:
         """Top-k of an alias's points (chunk_id, corpus_id, vector, ...); no hits where it points nowhere.
 
         The predicate applies before ranking, the threshold to scores.
@@ -183,6 +203,6 @@ class Catalog:
         from tessera.operators.dense import top_k
 
         at = self.resolve(alias)
-        points = self.spark.read.parquet(at) if at else self.spark.createDataFrame([], "chunk_id string, corpus_id string, vector array<float>")
-        hits = top_k(queries, points.filter(predicate) if predicate is not None and at else points, k=k)
+        points = self.read_index(at) if at else self.spark.createDataFrame([], "chunk_id string, corpus_id string, vector array<float>")
+        hits = top_k(queries, points.filter(predicate) if predicate is not None and at else points, k=k, digits=digits)
         return hits.filter(F.col("dense_score") >= threshold) if threshold is not None else hits

@@ -27,6 +27,7 @@ class SearchSettings:
     overhead: int = 0
     snippet_chars: int = 400
     overfetch: int = 3
+    stemmed: bool = True
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,7 @@ class SearchPipeline:
 
     def __init__(self, store: SnapshotStore, settings: SearchSettings = SearchSettings(), embedder: object | None = None, reranker: Callable[[list[str], list[str]], list[float]] | None = None):
         self.store, self.settings, self.embedder, self.reranker = store, settings, embedder, reranker
-        ensure_index(store)
+        ensure_index(store, settings.stemmed)
         self.snapshot = store.current()
 
     def _table(self, name: str) -> DataFrame:
@@ -78,7 +79,7 @@ class SearchPipeline:
         return SearchResult(hits, evidence, context.budget_summary(hits, packed, s.token_budget, s.overhead))
 
     def _legs(self, asked: DataFrame, chunks: DataFrame, s: SearchSettings, filters: ranking.FilterSpec | None) -> tuple[DataFrame, DataFrame]:
-        found = sparse.retrieve(asked.select("query_id", F.col("sparse_text").alias("text"), "corpus_id", "top_k"), self._table("postings"), self._table("stats"))
+        found = sparse.retrieve(asked.select("query_id", F.col("sparse_text").alias("text"), "corpus_id", "top_k"), self._table("postings"), self._table("stats"), stemmed=s.stemmed)
         if self.embedder is None:
             near = found.select("query_id", "chunk_id", "rank", F.col("sparse_score").alias("dense_score")).limit(0)
         else:

@@ -60,6 +60,7 @@ class SyncEngine:
     chunker: dict = field(default_factory=lambda: {"max_tokens": chunk.MAX_TOKENS, "overlap": chunk.OVERLAP})
     embedder: object | None = None
     enricher: enrich.Enricher | None = None
+    stemmed: bool = True
     #: whether sources that the connector doesn't list are deleted
     whole: bool = True
     compact_at: int = 64
@@ -178,8 +179,8 @@ class SyncEngine:
             if problems := wrong.limit(5).collect():
                 raise ValueError("; ".join(f"{r['revision_id']}: {', '.join(r['errors'])}" for r in problems))
         with stages("index"):
-            ensure_index(store)
-            store.stage(snapshot, "postings", sparse.postings(index_fields(chunk_rows)))
+            ensure_index(store, self.stemmed)
+            store.stage(snapshot, "postings", sparse.postings(index_fields(chunk_rows), self.stemmed))
             before, came, went = store.table("stats"), sparse.statistics(index_fields(chunk_rows)), sparse.statistics(index_fields(old))
             store.stage(snapshot, "stats", before.unionByName(came).unionByName(went.select(-F.col("n_docs"), -F.col("total")).toDF("n_docs", "total")).agg(F.sum("n_docs").alias("n_docs"), F.sum("total").alias("total")))
             store.inherit(snapshot, dead)
@@ -204,13 +205,13 @@ def index_fields(chunks: DataFrame) -> DataFrame:
     return chunks.select("corpus_id", "chunk_id", "revision_id", "text", F.col("parent_locator").alias("heading"), T.code_content(F.col("text")).alias("code"))
 
 
-def ensure_index(store: SnapshotStore) -> list[str]:
+def ensure_index(store: SnapshotStore, stemmed: bool = True) -> list[str]:
     """Makes postings anew for the live segments that lack them, and lost statistics; returns what was made."""
     made = []
     for name in store.segments():
         there = {t for t in ("chunks", "postings") if store.files.exists(f"{store.root}/segments/{name}/{t}")}
         if "chunks" in there and "postings" not in there:
-            store._write(name, "postings", sparse.postings(index_fields(store.segment("chunks", name))))
+            store._write(name, "postings", sparse.postings(index_fields(store.segment("chunks", name)), stemmed))
             made.append(name)
     live = store.current()
     if live and not store.files.exists(f"{store.root}/{live}/stats"):

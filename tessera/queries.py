@@ -93,7 +93,10 @@ def table_connector(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("uri", "content", "media_type", F.col("error").isNotNull().alias("failed"))
 
 
-@query()
+@query("""
+    WITH u AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS base, regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1) AS q FROM pages),
+    k AS (SELECT page_id, regexp_extract(base, '^[^/]*//[^/]*') AS site, base, array_to_string(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_|fbclid=|gclid=)')), '&') AS q FROM u)
+    SELECT page_id, lower(site) || CASE WHEN substr(base, length(site) + 1) = '' THEN '/' ELSE substr(base, length(site) + 1) END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS url FROM k""")
 def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select("page_id", F.pandas_udf(canonical_url, "string")("url").alias("url"))
 
@@ -121,9 +124,77 @@ def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     return parse.sections(_text_docs(spark, d), "markdown").select("source_id", "revision_id", "locator", "text", "ordinal", "depth")
 
 
-@query()
+def _talks(spark: SparkSession, d: str, part: F.Column, between: str = "") -> DataFrame:
+    """Conversations as documents: what ``part`` makes of their turns, one after another."""
+    turns = _t(spark, d, "conversations").select("conv_id", F.struct("turn", part.alias("part")).alias("t"))
+    lists = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    return lists.select(F.concat(F.lit("memory://talk-"), "conv_id").alias("uri"), F.col("conv_id").cast("string").alias("revision_id"), F.array_join("t.part", between).alias("content"))
+
+
+_TALK = "'memory://talk-' || conv_id AS source_id, CAST(conv_id AS VARCHAR) AS revision_id"
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""
+    WITH p AS (SELECT {_TALK}, 2 * turn + 1 AS page, turn, {_STRIP.format("text")} AS text FROM conversations),
+    f AS (SELECT *, {_STRIP.format("string_split(text, chr(10))[1]")} AS first, contains(text, chr(10)) AS many FROM p)
+    SELECT source_id, revision_id, 'page:' || page AS locator, CASE WHEN many AND length(first) BETWEEN 1 AND 119 AND NOT contains('.,;:?!', right(first, 1)) THEN first ELSE '' END AS heading,
+        text, CAST(turn AS INTEGER) AS ordinal, '' AS parent_locator, 0 AS depth FROM f""")
 def pdf_page_sections(spark: SparkSession, d: str) -> DataFrame:
-    return parse.sections(_text_docs(spark, d), "pdf_pages")
+    """The turns of a conversation are its pages, with an empty page after each."""
+    return parse.sections(_talks(spark, d, F.col("text"), "\f\f"), "pdf_pages").drop("section_id", "warnings")
+
+
+@query(f"""
+    WITH one AS (SELECT conv_id, turn AS base, role || CASE WHEN n > 1 THEN '[' || n || ']' ELSE '' END AS a FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations WHERE turn % 3 = 0) AS x),
+    s AS (SELECT c.*, one.a, two.role AS b FROM conversations AS c JOIN one ON one.conv_id = c.conv_id AND one.base = c.turn - c.turn % 3 LEFT JOIN conversations AS two ON two.conv_id = c.conv_id AND two.turn = c.turn - c.turn % 3 + 1)
+    SELECT {_TALK}, CASE turn % 3 WHEN 0 THEN a WHEN 1 THEN a || '/' || b ELSE a || '/' || b || '/' || role END AS locator, role AS heading,
+        chr(10) || text || chr(10) || '```' || chr(10) || '# not a heading' || chr(10) || '```' AS text, CAST(turn AS INTEGER) AS ordinal,
+        CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN a ELSE a || '/' || b END AS parent_locator, CAST(turn % 3 + 1 AS INTEGER) AS depth FROM s""")
+def markdown_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Headings of three levels that repeat, with a fence that holds what looks like one."""
+    part = F.concat(F.repeat(F.lit("#"), (F.col("turn") % 3 + 1).cast("int")), F.lit(" "), "role", F.lit(" ##\n\n"), "text", F.lit("\n```\n# not a heading\n```\n"))
+    return parse.sections(_talks(spark, d, part), "markdown").drop("section_id", "warnings")
+
+
+@query(f"""
+    WITH one AS (SELECT conv_id, turn AS base, role || CASE WHEN n > 1 THEN '[' || n || ']' ELSE '' END AS a FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations WHERE turn % 2 = 0) AS x)
+    SELECT 'memory://talk-' || c.conv_id AS source_id, CAST(c.conv_id AS VARCHAR) AS revision_id, CASE turn % 2 WHEN 0 THEN a ELSE a || '/' || role END AS locator, role AS heading,
+        'See ' || {_STRIP.format("regexp_replace(text, '\\s+', ' ', 'g')")} || ' [/t/' || turn || '] now' || chr(10) || 'one' || chr(10) || 'two' || chr(10) || 'a' || chr(10) || ' b' AS text,
+        CAST(turn AS INTEGER) AS ordinal, CASE turn % 2 WHEN 0 THEN '' ELSE a END AS parent_locator, CAST(turn % 2 + 1 AS INTEGER) AS depth
+    FROM conversations AS c JOIN one ON one.conv_id = c.conv_id AND one.base = c.turn - c.turn % 2""")
+def html_outline(spark: SparkSession, d: str) -> DataFrame:
+    """Headings, links in paragraphs, lists without end tags and verbatim code."""
+    safe = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    level = (F.col("turn") % 2 + 1).cast("string")
+    part = F.concat(F.lit("<h"), level, F.lit(">"), "role", F.lit("</h"), level, F.lit('><p>See <a href="/t/'), "turn", F.lit('">'), safe, F.lit("</a> now</p><script>x</script><ul><li>one<li>two</ul><pre>a\n b</pre>"))
+    return parse.sections(_talks(spark, d, part), "html").drop("section_id", "warnings")
+
+
+@query("""
+    SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)) || chr(10) || 'end' AS code FROM conversations""")
+def code_fields(spark: SparkSession, d: str) -> DataFrame:
+    """What is in fences: a turn's text, and a last fence that stays open."""
+    text = F.concat(F.lit("before\n```py\n  "), "text", F.lit("\n\n```\nbetween\n~~~\nend"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.code_content(text).alias("code"))
+
+
+@query("""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents),
+    t AS (SELECT doc_id, w, sum(CAST(ceil(length(u) / 4.0) AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY i) AS s, i FROM (SELECT doc_id, w, unnest(w) AS u, generate_subscripts(w, 1) AS i FROM d) AS x),
+    p AS (SELECT doc_id, any_value(w) AS w, list_prepend(0, list(CAST(s AS BIGINT) ORDER BY i)) AS s FROM t GROUP BY doc_id),
+    r AS (SELECT doc_id, 0 AS ordinal, 0 AS a, greatest(1, len(list_filter(s, lambda x: x - s[1] <= 512)) - 1) AS b FROM p
+        UNION ALL SELECT doc_id, ordinal + 1, a, greatest(a + 1, len(list_filter(s, lambda x: x - s[a + 1] <= 512)) - 1) FROM (
+            SELECT r.doc_id, ordinal, s, greatest(r.a + 1, len(list_filter(s[1 : b + 1], lambda x: s[b + 1] - x >= 64)) - 1) AS a FROM r JOIN p ON p.doc_id = r.doc_id WHERE b < len(w)) AS n)
+    SELECT r.doc_id, ordinal, array_to_string(w[a + 1 : b], ' ') AS text FROM r JOIN p ON p.doc_id = r.doc_id""")
+def word_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of 512 tokens with an overlap of 64, of each document's words on one line."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts):  # noqa: ANN001, ANN202
+        return texts.map(lambda t: chunk.split_words(t or "", chunk.MAX_TOKENS, chunk.OVERLAP))
+
+    return _t(spark, d, "documents").select("doc_id", F.posexplode(cut("text")).alias("ordinal", "text"))
 
 
 @query()
@@ -284,7 +355,7 @@ def vector_validation(spark: SparkSession, d: str) -> DataFrame:
 def _dense(kind: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         e = _t(spark, d, "embeddings")
-        asked = e.select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("query_vector"), F.lit(None).cast("string").alias("corpus_id"), F.lit(None).cast("int").alias("top_k"))
+        asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("query_vector"), F.lit(None).cast("string").alias("corpus_id"), F.lit(None).cast("int").alias("top_k"))
         points = e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.lit("c").alias("corpus_id"), F.col("embedding").alias("vector"))
         return dense.top_k(asked, points, kind, digits=6).select("query_id", "chunk_id", "rank", F.round("dense_score", 6).alias("score"))
 
@@ -293,7 +364,7 @@ def _dense(kind: str) -> Query:
 
 _DENSE = """
     WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-    s AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(v.vec_id AS VARCHAR) AS chunk_id, round({}, 6) AS score FROM v AS q, v WHERE q.vec_id < 20),
+    s AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(v.vec_id AS VARCHAR) AS chunk_id, round({}, 6) AS score FROM v AS q, v WHERE q.vec_id % 50 = 0),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s)
     SELECT query_id, chunk_id, rank, score FROM r WHERE rank <= 10"""
 for _kind, _sql in (("cosine", "list_dot_product(q.e, v.e)"), ("dot", "list_dot_product(q.e, v.e)"), ("euclidean", "-list_distance(q.e, v.e)")):
@@ -304,30 +375,46 @@ for _kind, _sql in (("cosine", "list_dot_product(q.e, v.e)"), ("dot", "list_dot_
 
 
 def _bm25(spark: SparkSession, d: str, stemmed: bool) -> DataFrame:
-    rows = _t(spark, d, "documents").filter("text IS NOT NULL").select(F.lit("c").alias("corpus_id"), F.col("doc_id").cast("string").alias("chunk_id"), "text", F.lit("").alias("heading"), F.lit("").alias("code"))
+    rows = _t(spark, d, "documents").filter("text IS NOT NULL").select(F.lit("c").alias("corpus_id"), F.col("doc_id").cast("string").alias("chunk_id"), "text", F.concat_ws(" ", "source", "lang").alias("heading"), F.lit("").alias("code"))
     asked = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text", F.lit(None).cast("string").alias("corpus_id"), F.lit(None).cast("int").alias("top_k"))
     posts = snapshot.written(sparse.postings(rows, stemmed))
     return sparse.retrieve(asked, posts, sparse.statistics(rows), stemmed=stemmed)
 
 
+_CODE, _COMMAND, _CAMEL = (p.replace("'", "''") for p in (T.CODE, T.COMMAND, T.CAMEL))
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TOKENS = "list_filter(regexp_split_to_array(" + _LOWER + ", '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
-_SCORES = f"""
-    WITH tok AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, unnest({_TOKENS.format("text")}) AS term FROM documents WHERE text IS NOT NULL),
-    tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL), len AS (SELECT chunk_id, count(*) AS l FROM tok GROUP BY ALL),
-    n AS (SELECT count(*) AS n, (SELECT sum(l) FROM len) / count(*) AS a FROM documents WHERE text IS NOT NULL),
-    idf AS (SELECT term, CASE WHEN (n - count(*) + 0.5) / (count(*) + 0.5) <= 1 THEN 1e-6 ELSE ln((n - count(*) + 0.5) / (count(*) + 0.5)) END AS idf FROM tf, n GROUP BY term, n),
-    w AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[1:8] AS w FROM benchmark),
-    c AS (SELECT item_id, CASE WHEN len(list_filter(w, lambda x: lower(x) NOT IN ({_STOP}))) > 0 THEN list_filter(w, lambda x: lower(x) NOT IN ({_STOP})) ELSE w END AS w FROM w),
-    q AS (SELECT query_id, term FROM (SELECT CAST(item_id AS VARCHAR) AS query_id, {_TOKENS.format("u")}[1] AS term FROM (SELECT item_id, unnest(w) AS u FROM c) AS u) AS t WHERE term IS NOT NULL),
-    need AS (SELECT query_id, count(*) AS need FROM q GROUP BY ALL),
-    part AS (SELECT query_id, chunk_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS score, count(*) AS have
-        FROM q JOIN tf USING (term) JOIN idf USING (term) JOIN len USING (chunk_id), n GROUP BY ALL),
-    strict AS (SELECT query_id, chunk_id, score FROM part JOIN need USING (query_id) WHERE have = need),
-    every AS (SELECT * FROM strict UNION ALL SELECT query_id, chunk_id, score FROM part WHERE query_id NOT IN (SELECT query_id FROM strict)),
+
+
+def bm25_sql(chunks: str, queries: str, k: int = 10) -> str:
+    """CTEs up to bm (query_id, chunk_id, rank, score): BM25 with phrases and branches over
+    ``chunks`` (chunk_id, text, heading, code) for ``queries`` (query_id, text)."""
+    fields = " UNION ALL ".join(f"SELECT chunk_id, {i} AS f, {_TOKENS.format(name)} AS w FROM ch" for i, name in enumerate(sparse.FIELDS))
+    return f"""
+    WITH ch AS ({chunks}), qs AS ({queries}),
+    tok AS (SELECT chunk_id, f, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS term FROM ({fields}) AS x),
+    len AS (SELECT chunk_id, count(*) AS l FROM tok GROUP BY ALL),
+    n AS (SELECT count(*) AS n, (SELECT sum(l) FROM len) / count(*) AS a FROM ch),
+    w AS (SELECT query_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM qs),
+    c AS (SELECT query_id, CASE WHEN len(list_filter(w, lambda x: lower(x) NOT IN ({_STOP}))) > 0 THEN list_filter(w, lambda x: lower(x) NOT IN ({_STOP})) ELSE w END AS w,
+        list_distinct(regexp_extract_all(text, '{_CODE}') || regexp_extract_all(text, '{_COMMAND}') || regexp_extract_all(text, '{_CAMEL}')) AS b FROM w),
+    ph AS (SELECT * FROM (SELECT query_id, 0 AS branch, {_TOKENS.format("u")} AS terms FROM (SELECT query_id, unnest(w) AS u FROM c) AS x
+        UNION ALL SELECT query_id, i AS branch, {_TOKENS.format("u")} FROM (SELECT query_id, unnest(b) AS u, generate_subscripts(b, 1) AS i FROM c) AS y) AS z WHERE len(terms) > 0),
+    st AS (SELECT terms, generate_subscripts(terms, 1) - 1 AS step, unnest(terms) AS term FROM (SELECT DISTINCT terms FROM ph) AS x),
+    an AS (SELECT terms, chunk_id, f, pos - step AS anchor FROM st JOIN tok USING (term) GROUP BY ALL HAVING count(*) = len(terms)),
+    tf AS (SELECT terms, chunk_id, sum(CASE f WHEN 0 THEN 1.0 WHEN 1 THEN 10.0 ELSE 5.0 END)::DOUBLE AS tf FROM an GROUP BY ALL),
+    idf AS (SELECT terms, CASE WHEN (n - count(*) + 0.5) / (count(*) + 0.5) <= 1 THEN 1e-6 ELSE ln((n - count(*) + 0.5) / (count(*) + 0.5)) END AS idf FROM tf, n GROUP BY terms, n),
+    worth AS (SELECT terms, chunk_id, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a)) AS part FROM tf JOIN idf USING (terms) JOIN len USING (chunk_id), n),
+    found AS (SELECT query_id, chunk_id, count(*) FILTER (branch = 0) AS have, coalesce(sum(part) FILTER (branch = 0), 0) AS words, sum(part) FILTER (branch > 0) AS names FROM ph JOIN worth USING (terms) GROUP BY ALL),
+    need AS (SELECT query_id, count(*) FILTER (branch = 0) AS need FROM ph GROUP BY ALL),
+    marked AS (SELECT query_id, chunk_id, have = need AND need > 0 OR names IS NOT NULL AS strict, words, CASE WHEN have = need AND need > 0 THEN words ELSE 0 END + coalesce(names, 0) AS exact FROM found JOIN need USING (query_id)),
+    every AS (SELECT query_id, chunk_id, CASE WHEN strict THEN exact ELSE words END AS score FROM (SELECT *, max(strict) OVER (PARTITION BY query_id) AS has_strict FROM marked) AS m WHERE strict OR NOT has_strict),
     ranked AS (SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM every),
-    bm AS (SELECT * FROM ranked WHERE rank <= 10)"""
+    bm AS (SELECT * FROM ranked WHERE rank <= {k})"""
+
+
+_SCORES = bm25_sql("SELECT CAST(doc_id AS VARCHAR) AS chunk_id, text, source || ' ' || lang AS heading, '' AS code FROM documents WHERE text IS NOT NULL", "SELECT CAST(item_id AS VARCHAR) AS query_id, text FROM benchmark")
 
 
 @query(_SCORES + " SELECT query_id, chunk_id, rank, score FROM bm")
@@ -346,12 +433,14 @@ def stopword_filter(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", F.size(T.content_words(t)).cast("bigint").alias("content_words"), F.size(T.words(t)).cast("bigint").alias("words"))
 
 
-@query("""
-    SELECT event_id, array_to_string(list_distinct_ordered, ',') AS boosts FROM (
-        SELECT event_id, [x FOR x IN ['ERR_' || upper(event_type), 'run-' || event_type, 'UserId'] IF true] AS list_distinct_ordered FROM events) AS e""")
+@query(f"""
+    WITH t AS (SELECT conv_id, turn, 'why does ERR_' || upper(role) || ' follow run-' || role || ' for UserId in /usr/' || role || ' or ERR_' || upper(role) || ' as in ' || regexp_replace(text, '[\\x{{AA}}\\x{{B5}}\\x{{BA}}\\x{{C0}}-\\x{{24F}}]', '_', 'g') AS text FROM conversations),
+    f AS (SELECT conv_id, turn, regexp_extract_all(text, '{_CODE}') || regexp_extract_all(text, '{_COMMAND}') || regexp_extract_all(text, '{_CAMEL}') AS b FROM t)
+    SELECT conv_id, turn, array_to_string(list_transform(list_sort(list_distinct(list_transform(b, lambda x: lpad(CAST(list_position(b, x) AS VARCHAR), 6, '0') || x))), lambda x: substr(x, 7)), ',') AS boosts FROM f""")
 def boost_tokens(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("why does ERR_"), F.upper("event_type"), F.lit(" follow run-"), "event_type", F.lit(" for UserId or ERR_"), F.upper("event_type"))
-    return _t(spark, d, "events").select("event_id", F.array_join(T.boost_words(text), ",").alias("boosts"))
+    up = F.upper("role")
+    text = F.concat(F.lit("why does ERR_"), up, F.lit(" follow run-"), "role", F.lit(" for UserId in /usr/"), "role", F.lit(" or ERR_"), up, F.lit(" as in "), "text")
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.boost_words(text), ",").alias("boosts"))
 
 
 # fusion, filters and ranking
@@ -369,8 +458,7 @@ def _legs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 _RRF = """
     WITH d AS (SELECT source AS query_id, doc_id, CAST(doc_id AS VARCHAR) AS chunk_id, n_chars FROM documents),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC) AS b FROM d),
-    f AS (SELECT query_id, chunk_id, CASE WHEN a <= 30 THEN CAST(n_chars AS DOUBLE) END AS sparse_score, CASE WHEN b <= 30 THEN CAST(doc_id AS DOUBLE) END AS dense_score,
-        (CASE WHEN a <= 30 THEN 1.0::DOUBLE / (60 + a) ELSE 0 END) + (CASE WHEN b <= 30 THEN 1.0::DOUBLE / (60 + b) ELSE 0 END) AS s FROM r WHERE a <= 30 OR b <= 30),
+    f AS (SELECT query_id, chunk_id, CAST(n_chars AS DOUBLE) AS sparse_score, CAST(doc_id AS DOUBLE) AS dense_score, 1.0::DOUBLE / (60 + a) + 1.0::DOUBLE / (60 + b) AS s FROM r),
     rrf AS (SELECT query_id, chunk_id, sparse_score, dense_score, round(s, 9) AS fusion_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS INTEGER) AS rank FROM f)"""
 
 
@@ -393,40 +481,63 @@ def filter_spec(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    """The documents of each source and language by id, as the hits of a query."""
-    docs = _t(spark, d, "documents")
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return docs.select(F.col("source").alias("query_id"), F.lit("what").alias("query_text"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("source_id"), F.coalesce("text", F.lit("")).alias("text"), rank.alias("rank"), T.token_count(F.col("text")).alias("token_count"))
+    """The turns of each conversation as the hits of a query, their roles as sources."""
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return _t(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("query_id"), F.lit("what").alias("query_text"), F.concat_ws("/", "conv_id", "turn").alias("chunk_id"), F.col("role").alias("source_id"), F.coalesce("text", F.lit("")).alias("text"), rank.alias("rank"), T.token_count(F.col("text")).alias("token_count"))
 
 
 @query("""
-    WITH h AS (SELECT source AS query_id, CAST(doc_id AS VARCHAR) AS chunk_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)
-    SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN r <= 20 THEN 0 ELSE 1 END, CASE WHEN r <= 20 THEN -n ELSE 0 END, r) AS INTEGER) AS rank,
-        CASE WHEN r <= 20 THEN CAST(n AS DOUBLE) END AS rerank_score FROM h""")
+    WITH h AS (SELECT CAST(conv_id AS VARCHAR) AS query_id, conv_id || '/' || turn AS chunk_id, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)
+    SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN r <= 3 THEN 0 ELSE 1 END, CASE WHEN r <= 3 THEN -n ELSE 0 END, r) AS INTEGER) AS rank,
+        CASE WHEN r <= 3 THEN CAST(n AS DOUBLE) END AS rerank_score FROM h""")
 def rerank_window(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.rerank(_hits(spark, d), lambda _, texts: [float(len(t)) for t in texts], 20).select("query_id", "chunk_id", "rank", "rerank_score")
+    return ranking.rerank(_hits(spark, d), lambda _, texts: [float(len(t)) for t in texts], 3).select("query_id", "chunk_id", "rank", "rerank_score")
 
 
 _SETS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''))"
+_ALIKE = "CASE WHEN len({0}) + len({1}) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1})) * 1.0::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"
 
 
 @query(f"""
-    WITH s AS (SELECT doc_id, source, {_SETS} AS w FROM documents WHERE length(text) < 400)
-    SELECT a.doc_id AS a, b.doc_id AS b, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w)) * 1.0 / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END, 6)::DOUBLE AS jaccard
-    FROM s AS a JOIN s AS b ON a.source = b.source AND a.doc_id < b.doc_id""")
+    WITH s AS (SELECT doc_id, source, {_SETS} AS w FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT doc_id AS a, w, lead(doc_id) OVER o AS b, lead(w) OVER o AS x FROM s WINDOW o AS (PARTITION BY source ORDER BY doc_id))
+    SELECT a, b, round({_ALIKE.format("w", "x")}, 6)::DOUBLE AS jaccard FROM p WHERE b IS NOT NULL""")
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity of all pairs of documents of a source; null texts have none."""
+    """Similarity of each document to the next of its source; null texts have none."""
     s = _t(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "source", T.word_set(F.col("text")).alias("words"))
-    b = s.select(F.col("doc_id").alias("b"), "source", F.col("words").alias("other"))
-    return s.join(b, "source").filter("doc_id < b").select(F.col("doc_id").alias("a"), "b", F.round(T.jaccard_of_sets(F.col("words"), F.col("other")), 6).alias("jaccard"))
+    order = Window.partitionBy("source").orderBy("doc_id")
+    pairs = s.select(F.col("doc_id").alias("a"), "words", F.lead("doc_id").over(order).alias("b"), F.lead("words").over(order).alias("other")).filter("b IS NOT NULL")
+    return pairs.select("a", "b", F.round(T.jaccard_of_sets(F.col("words"), F.col("other")), 6).alias("jaccard"))
 
 
-@query()
+_TURNS = f"SELECT CAST(conv_id AS VARCHAR) AS query_id, role, conv_id || '/' || turn AS chunk_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS g, {_SETS} AS w FROM conversations"
+
+
+@query(f"""
+    WITH RECURSIVE c AS (SELECT conv_id, role, turn, 0 AS copy, text FROM conversations UNION ALL SELECT conv_id, role, turn, 1, text || ' again' FROM conversations),
+    h AS (SELECT CAST(conv_id AS VARCHAR) AS query_id, role, conv_id || '/' || turn || '/' || copy AS chunk_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, copy) AS r, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, copy) AS g, {_SETS} AS w FROM c),
+    f AS (SELECT query_id, role, chunk_id, r, g, true AS kept, [w] AS ws FROM h WHERE g = 1
+        UNION ALL SELECT query_id, role, chunk_id, r, g, fresh, CASE WHEN fresh THEN list_append(ws, w) ELSE ws END FROM (
+            SELECT h.query_id, h.role, h.chunk_id, h.r, h.g, h.w, f.ws, len(list_filter(f.ws, lambda o: {_ALIKE.format("o", "h.w")} >= 0.85)) = 0 AS fresh
+            FROM f JOIN h ON h.query_id = f.query_id AND h.role = f.role AND h.g = f.g + 1) AS x)
+    SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS INTEGER) AS rank FROM f WHERE kept""")
 def collapse_near_dup(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.collapse_duplicates(_hits(spark, d)).select("query_id", "chunk_id", "rank")
+    """Each turn is followed by a copy of itself with one word more, which goes where the turn is long enough."""
+    turns = _t(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.lit(0).alias("copy"))
+    rows = turns.unionByName(turns.select("conv_id", "turn", "role", F.concat("text", F.lit(" again")).alias("text"), F.lit(1).alias("copy")))
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "copy"))
+    hits = rows.select(F.col("conv_id").cast("string").alias("query_id"), F.concat_ws("/", "conv_id", "turn", "copy").alias("chunk_id"), F.col("role").alias("source_id"), "text", rank.alias("rank"))
+    return ranking.collapse_duplicates(hits).select("query_id", "chunk_id", "rank")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE h AS ({_TURNS}),
+    m AS (SELECT query_id, list(chunk_id ORDER BY r) AS ids, list(w ORDER BY r) AS ws, count(*) AS n FROM h GROUP BY query_id),
+    f AS (SELECT query_id, 0 AS step, 0 AS best, ids, ws, n, list_transform(ids, lambda x: false) AS used, list_transform(ids, lambda x: 0.0::DOUBLE) AS near FROM m
+        UNION ALL SELECT query_id, step, best, ids, ws, n, list_transform(used, lambda u, i: u OR i = best), list_transform(near, lambda v, i: greatest(v, {_ALIKE.format("ws[i]", "ws[best]")})) FROM (
+            SELECT query_id, step + 1 AS step, ids, ws, n, used, near, list_position(s, list_max(s)) AS best FROM (
+                SELECT *, list_transform(near, lambda v, i: CASE WHEN used[i] THEN -9.0 ELSE 0.5::DOUBLE * (1.0::DOUBLE / i) - 0.5::DOUBLE * v END) AS s FROM f WHERE step < n) AS y) AS x)
+    SELECT query_id, ids[best] AS chunk_id, CAST(step AS INTEGER) AS rank FROM f WHERE step > 0""")
 def mmr_order(spark: SparkSession, d: str) -> DataFrame:
     return ranking.mmr(_hits(spark, d), 0.5).select("query_id", "chunk_id", "rank")
 
@@ -456,7 +567,7 @@ def skip_budget_pack(spark: SparkSession, d: str) -> DataFrame:
     SELECT CAST(a.conv_id AS VARCHAR) AS query_id, a.conv_id || '/' || a.turn AS chunk_id, b.conv_id || '/' || b.turn AS neighbor_id, CAST(b.turn - a.turn AS INTEGER) AS distance
     FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) AS a
     JOIN (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) AS b
-    ON a.conv_id = b.conv_id AND abs(a.r - b.r) BETWEEN 1 AND 2 WHERE a.turn % 3 = 0""")
+    ON a.conv_id = b.conv_id AND abs(a.r - b.r) BETWEEN 1 AND 2""")
 def neighbor_expand(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("query_id"), F.col("conv_id").alias("section_id"), F.col("turn").alias("ordinal"), F.concat_ws("/", "conv_id", "turn").alias("chunk_id"), "turn")
     linked = context.link_neighbors(rows)
@@ -471,17 +582,39 @@ def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return linked, context.pack(hits, around, 400)
 
 
-@query()
+_PACK = f"""
+    WITH RECURSIVE h AS (SELECT CAST(conv_id AS VARCHAR) AS query_id, conv_id || '/' || turn AS chunk_id, role, text, CAST(ceil(length(text) / 4.0) AS INTEGER) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations),
+    f AS (SELECT query_id, r, t <= 400 AS fits, CASE WHEN t <= 400 THEN t ELSE 0 END AS used FROM h WHERE r = 1
+        UNION ALL SELECT h.query_id, h.r, f.used + h.t <= 400, CASE WHEN f.used + h.t <= 400 THEN f.used + h.t ELSE f.used END FROM f JOIN h ON h.query_id = f.query_id AND h.r = f.r + 1),
+    e AS (SELECT {_ID.format("'evidence:' || query_id || ':' || chunk_id")} AS evidence_id, query_id, chunk_id, 'S' || n AS citation_label, 'hit' AS role, n AS position, t AS token_count, text, source_id
+        FROM (SELECT h.query_id, chunk_id, t, text, role AS source_id, row_number() OVER (PARTITION BY h.query_id ORDER BY h.r) AS n FROM h JOIN f ON f.query_id = h.query_id AND f.r = h.r WHERE fits) AS x)"""
+
+
+@query(_PACK + " SELECT evidence_id, query_id, chunk_id, citation_label, role, CAST(position AS INTEGER) AS position, token_count FROM e")
 def expand_and_pack(spark: SparkSession, d: str) -> DataFrame:
-    return _packed(spark, d)[1]
+    return _packed(spark, d)[1].drop("context_of", "sparse_score", "dense_score", "fusion_score", "rerank_score")
 
 
-@query()
+_SPACE = "[ \\t\\n\\r\\f]"
+
+
+@query(_PACK + f"""
+    , q AS (SELECT CAST(conv_id AS VARCHAR) AS query_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda w: length(w) > 2) AS ws FROM conversations WHERE turn = 0),
+    m AS (SELECT e.*, length(text) AS n, coalesce(list_min(list_filter(list_transform(ws, lambda w: instr(lower(text), w)), lambda p: p > 0)) - 1, length(text) // 2) AS mid FROM e JOIN q USING (query_id)),
+    c AS (SELECT *, greatest(0, mid - 200) AS lo0, least(n, mid + 200) AS hi0 FROM m),
+    d AS (SELECT *, CASE WHEN lo0 > 0 THEN lo0 + length(regexp_extract(substr(text, lo0 + 1), '^[^ \\t\\n\\r\\f]*{_SPACE}*')) ELSE 0 END AS lo1,
+        CASE WHEN hi0 < n THEN length(regexp_replace(regexp_replace(substr(text, 1, hi0), '[^ \\t\\n\\r\\f]*$', ''), '{_SPACE}+$', '')) ELSE n END AS hi1 FROM c),
+    g AS (SELECT *, CASE WHEN lo1 >= hi1 THEN greatest(0, n // 2 - 200) ELSE lo1 END AS lo2, CASE WHEN lo1 >= hi1 THEN least(n, greatest(0, n // 2 - 200) + 400) ELSE hi1 END AS hi2 FROM d),
+    k AS (SELECT *, regexp_replace(substr(text, lo2 + 1, hi2 - lo2), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS cut FROM g)
+    SELECT evidence_id, query_id, chunk_id, citation_label, cut AS snippet, CAST(lo2 + instr(substr(text, lo2 + 1), cut) - 1 AS INTEGER) AS char_start,
+        CAST(lo2 + instr(substr(text, lo2 + 1), cut) - 1 + length(cut) AS INTEGER) AS char_end, CASE WHEN source_id = 'user' THEN 'memory://user' ELSE '' END AS source_uri, CASE WHEN source_id = 'user' THEN 'Users' ELSE '' END AS title, source_id AS locator FROM k""")
 def snippets(spark: SparkSession, d: str) -> DataFrame:
+    """Cut around what a conversation's first turn asks."""
     rows, evidence = _packed(spark, d)
-    asked = rows.select("query_id").distinct().withColumn("text", F.lit("what about the other then"))
-    sources = spark.createDataFrame([("user", "memory://user", "")], "source_id string, canonical_uri string, title string")
-    return context.with_snippets(evidence, rows, asked, sources).select("evidence_id", "query_id", "chunk_id", "citation_label", "snippet")
+    asked = rows.filter("turn = 0").select("query_id", "text")
+    sources = spark.createDataFrame([("user", "memory://user", "Users")], "source_id string, canonical_uri string, title string")
+    made = context.with_snippets(evidence, rows, asked, sources)
+    return made.select("evidence_id", "query_id", "chunk_id", "citation_label", F.col("snippet.text").alias("snippet"), "snippet.char_start", "snippet.char_end", "snippet.source_uri", "snippet.title", "snippet.locator")
 
 
 @query("""
