@@ -5,11 +5,11 @@ first-order Markov models, with the smoothed frequencies of labelled samples, gi
 likelihood of a candidate's characters; their log-likelihood ratio per string decides.
 A candidate that fails as a whole is searched for stretches: those of the greatest sum of
 ratios, widened to the next / _ or -, so that a key in a path or name isn't outvoted.
-The samples of random strings are drawn in the usual alphabets (hexadecimal, base 32,
-62 and 64, with prefixes); those of ordinary identifiers are words, camel and snake
-case names, paths, dates and numbers.  A candidate's characters are first mapped to its
-case pattern's alphabet, so that a hexadecimal string is random although it has few
-letters.
+No table labels secrets, so the labelled samples are made: random strings are drawn in
+the usual alphabets (hexadecimal, base 32, 62 and 64, with prefixes); ordinary identifiers
+are camel and snake case names, paths, dates and numbers from a list of stems and from
+the words of a bounded sample of the documents that are scanned, whatever their language.
+The threshold is what all but 1 in 1,000 of further ordinary identifiers stay under.
 
 Defined results: null and empty texts have no secrets; each occurrence is a row; a
 candidate or stretch must have ``MIN_LENGTH`` characters and a digit or mixed case within; plain
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 MIN_LENGTH = 16
 THRESHOLD = 6.0
 SAMPLES = 4000
+MAX_DOCS = 500
+MAX_WORDS = 4000
 CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 _CODE = np.full(256, 0, np.int64)
@@ -87,11 +89,11 @@ def random_strings(n: int, rng: np.random.Generator) -> list[str]:
     return out
 
 
-def ordinary_strings(n: int, rng: np.random.Generator) -> list[str]:
+def ordinary_strings(n: int, rng: np.random.Generator, stems: list[str] = _STEMS) -> list[str]:
     """Labelled samples of ordinary identifiers."""
     out = []
     for i in range(n):
-        words = [_STEMS[k] for k in rng.integers(0, len(_STEMS), int(rng.integers(2, 7)))]
+        words = [stems[k] for k in rng.integers(0, len(stems), int(rng.integers(2, 7)))]
         kind = i % 8
         if kind == 0:
             s = words[0] + "".join(w.capitalize() for w in words[1:])
@@ -117,6 +119,7 @@ def ordinary_strings(n: int, rng: np.random.Generator) -> list[str]:
 class SecretModel:
     random: MarkovModel
     ordinary: MarkovModel
+    threshold: float = THRESHOLD
 
     def ratio(self, strings: list[str]) -> np.ndarray:
         """Log-likelihood ratio of random to ordinary; above 0 the string looks random."""
@@ -153,9 +156,26 @@ class SecretModel:
         return sorted(out)
 
 
-def train(samples: int = SAMPLES, seed: int = 8) -> SecretModel:
+def document_words(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> list[str]:
+    """Lower-case words of a sample of at most ``max_docs`` documents, chosen by a hash of their ids."""
+    ids = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_docs)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
+    found = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![a-z0-9+/_\-])([a-z]{2,14})(?![a-z0-9+/_\-=])"), F.lit(1)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return sorted(r[0] for r in found.filter("n > 1").orderBy(F.xxhash64("w"), "w").limit(max_words).collect())
+
+
+def train(docs: DataFrame | None = None, samples: int = SAMPLES, seed: int = 8) -> SecretModel:
+    """Models from made samples, of ordinary identifiers half from the words of ``docs``."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    return SecretModel(fit(random_strings(samples, rng)), fit(ordinary_strings(samples, rng)))
+    words = document_words(docs) if docs is not None else []
+
+    def ordinary(n: int) -> list[str]:
+        return [*ordinary_strings(n - n // 2 if words else n, rng), *(ordinary_strings(n // 2, rng, words) if words else [])]
+
+    model = SecretModel(fit(random_strings(samples, rng)), fit(ordinary(samples)))
+    held = [s for s in ordinary(samples) if plausible(s)]
+    model.threshold = float(np.clip(np.quantile(model.ratio(held), 0.999), 0.0, 2 * THRESHOLD)) if held else THRESHOLD
+    return model
 
 
 def plausible(s: str) -> bool:
@@ -164,11 +184,12 @@ def plausible(s: str) -> bool:
     return letter and (digit or (any(c.islower() for c in s[1:]) and any(c.isupper() for c in s[1:])))
 
 
-def scan(docs: DataFrame, model: SecretModel, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, model: SecretModel, threshold: float | None = None) -> DataFrame:
     """(doc_id, start, length, preview, score) of each secret; start counts characters from 0.
 
     The candidates are found and split from their texts in the JVM; only they go through Python.
     """
+    threshold = model.threshold if threshold is None else threshold
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.filter(F.col("text").rlike(CANDIDATE))
     # splitting at candidates gives what lies before each: the offsets follow by adding lengths
