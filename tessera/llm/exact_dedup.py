@@ -111,11 +111,18 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(out, names=["digit_len", "digit_lead", "text", "ids"])
 
 
+def _wide(batches: list[pa.RecordBatch]) -> pa.Table:
+    """One table whose texts have wide offsets, as a partition's may be over 2 GB together."""
+    table = pa.Table.from_batches(batches)
+    at = table.schema.get_field_index("text")
+    return table.set_column(at, "text", table.column("text").cast(pa.large_string())).combine_chunks()
+
+
 def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = list(batches)
     if not rows:
         return
-    table = pa.Table.from_batches(rows).combine_chunks()
+    table = _wide(rows)
     values = table.column("ids").combine_chunks() if table.num_rows else None
     if values is None:
         return
@@ -160,8 +167,9 @@ def _first_rows(batches: Iterator[pa.RecordBatch], lead: bool) -> Iterator[pa.Re
 def _first_of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = list(batches)
     if rows:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        yield from _first_rows(iter(table.to_batches()), False)
+        table = _wide(rows)
+        for batch in _first_rows(iter(table.to_batches()), False):
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", batch.column("text").cast(pa.string()))
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
