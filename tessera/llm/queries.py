@@ -48,7 +48,8 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"), secrets.train())
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,7 @@ ORACLES: dict[str, str] = {
         prefixes AS (
             SELECT doc, doc_id, p, array_to_string(w[p + 1 : p + 50], ' ') AS s FROM suffixes),
         ties AS (
-            SELECT doc, doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY s) AS n FROM prefixes) AS c WHERE n > 1),
+            SELECT doc, doc_id, p FROM (SELECT *, min(doc_id) OVER (PARTITION BY s) AS a, max(doc_id) OVER (PARTITION BY s) AS z FROM prefixes) AS c WHERE a <> z),
         steps AS (
             SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM ties),
         groups AS (

@@ -13,14 +13,22 @@ cover samples, and the samples still share MIN_WORDS - PERIOD + 1 words.  So
 3. the suffixes left are spread over buckets and sorted one bucket at a time by their
    MIN_WORDS-word prefix; neighbours that tie are repeated.
 
-Memory is bounded by a bucket.  Buckets follow the session's shuffle partitions.  Sample
-names may be short, since a false tie among them only adds candidates; the final prefix
-names have 64 bits besides the bucket's own hash.
-
-Defined results: null and empty texts, and texts under MIN_WORDS words, have no repeated
-passage; an occurrence inside the same document counts; exact and near copies of a
-document repeat each other's passages; rows that repeat a doc_id and text repeat each
-other; spans of a document that touch or overlap are one.  Extra columns are not read.
+Where this bends the method: suffixes and samples are ordered by names, hashes of the
+words of a prefix, and not letter by letter, and only to the depth of the threshold.
+Ties are what a dedup needs, and names tell them at any offset; ranks of samples to full
+depth would take a round of prefix doubling for each doubling of the longest repeat, each
+a shuffle of all tied samples.
+
+A task holds a partition of samples, or a home bucket's texts with its tied samples;
+both follow the session's shuffle partitions.  Sample names may be short, since a false
+tie among them only adds candidates; the names that decide have 96 bits, of two hashes.
+
+Defined results: a passage counts where another document, that is another doc_id, has it
+too; what only one document repeats, such as a line that it has again and again, isn't
+a repeat across documents.  Null and empty texts, and texts under MIN_WORDS words, have no
+repeated passage; exact and near copies of a document repeat each other's passages; rows
+that repeat a doc_id are one document, rows without one are each their own; spans of a
+row that touch or overlap are one.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -43,8 +51,9 @@ BLOCKS_PER_PARTITION = 4
 
 _SAMPLE = {"name": "u4", "low": "u4", "high": "u2", "at": "u4"}
 _TIED = {"low": "u4", "high": "u2", "at": "u4"}
-_SUFFIX = {"name": "u8", "place": "u4"}
+_SUFFIX = {"name": "u8", "more": "u8", "place": "u4"}
 _NO = np.iinfo(np.int64).min
+_SECOND = np.uint64(0xA0761D6478BD642F)
 
 
 def is_cover(cover: tuple[int, ...], period: int) -> bool:
@@ -138,14 +147,23 @@ def _candidates(docs: pa.Table, tied: pa.Table, blocks: int, min_words: int) ->
             owner = np.searchsorted(count, place, side="right") - 1
             place = place[place - count[owner] + min_words <= n[owner]]
             name = tk.window_hashes(words, place, min_words)
-            yield from _marked(out.add((name % np.uint64(blocks)).astype(np.int32), name=name, place=(base + place).astype(np.uint32)), home)
+            second = tk.window_hashes(tk.mix(words ^ _SECOND), place, min_words) >> np.uint64(32) << np.uint64(32)
+            who = np.where(valid[i:j], tk.mix(ids[i:j].astype(np.int64).view(np.uint64)), tk.mix((base + count[:-1]).astype(np.uint64) ^ np.uint64(home << 40 | 1 << 39)))
+            if base + len(words) >= 1 << 32:
+                raise OverflowError("a home bucket of over 2**32 words: raise spark.sql.shuffle.partitions")
+            yield from _marked(out.add((name % np.uint64(blocks)).astype(np.int32), name=name, more=second | who[owner_of(place, count)] >> np.uint64(32), place=(base + place).astype(np.uint32)), home)
             directory.append((np.where(valid[i:j], ids[i:j], _NO), base + count[:-1]))
             base += len(words)
     yield from _marked(out.flush(), home)
     if directory:
         ids, first = (np.concatenate(x) for x in zip(*directory))
         order = np.argsort(first, kind="stable")
-        yield pa.RecordBatch.from_arrays([pa.array([-1 - home], pa.int32()), pa.array([first[order].astype(np.int64).tobytes()], pa.binary()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([home], pa.int32())], names=["bucket", "name", "place", "home"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - home], pa.int32()), pa.array([first[order].astype(np.int64).tobytes()], pa.binary()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([home], pa.int32())], names=["bucket", "name", "place", "home"]).add_column(2, "more", pa.array([b""], pa.binary()))
+
+
+def owner_of(place: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The row of each word of a slice."""
+    return np.searchsorted(count, place, side="right") - 1
 
 
 def _marked(batches: Iterator[pa.RecordBatch], home: int) -> Iterator[pa.RecordBatch]:
@@ -167,11 +185,17 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sorted(held):
         rows = held.pop(b)
         name = np.concatenate([blob(r.column("name"), "u8") for r in rows])
+        more = np.concatenate([blob(r.column("more"), "u8") for r in rows])
         place = np.concatenate([blob(r.column("place"), "u4") for r in rows])
         home = np.concatenate([np.repeat(r.column("home").to_numpy(), pc.divide(pc.binary_length(r.column("place")), 4).to_numpy()) for r in rows])
-        order = np.argsort(name)
-        start, size = runs(name[order])
-        hit = order[np.repeat(size > 1, size)]
+        order = np.lexsort((more, name))
+        n, m = name[order], more[order]
+        if not len(n):
+            continue
+        start = np.flatnonzero(np.r_[True, (n[1:] != n[:-1]) | (m[1:] >> np.uint64(32) != m[:-1] >> np.uint64(32))])
+        size = np.diff(np.r_[start, len(n)])
+        # within a tie owners are in order: the first and last differ where several documents have it
+        hit = order[np.repeat(m[start] != m[start + size - 1], size)]
         hit = hit[np.lexsort((place[hit], home[hit]))]
         s, c = runs(home[hit])
         if len(s):
@@ -203,7 +227,7 @@ def _spans(rows: pa.Table, min_words: int) -> pa.Table:
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start_word, end_word): the maximal spans of words, end exclusive, covered by
-    ``min_words``-word passages that occur more than once in the corpus."""
+    ``min_words``-word passages that several documents have."""
     if min_words < PERIOD:
         raise ValueError(f"min_words must be at least {PERIOD}")
     n = partitions(docs.sparkSession)
@@ -212,7 +236,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     sample = rows.mapInArrow(lambda it: _samples(it, blocks, min_words), "bucket int, name binary, low binary, high binary, at binary")
     tied = sample.repartition(n, "bucket").mapInArrow(lambda it: _tied_samples(it, n), "bucket int, low binary, high binary, at binary")
     homes = rows.mapInArrow(lambda it: _homes(it, n), "home int, doc_id long, text string")
-    open_ = homes.groupBy("home").cogroup(tied.groupBy("bucket")).applyInArrow(lambda a, b: _cogroup(a, b, blocks, min_words), "bucket int, name binary, place binary, home int")
+    open_ = homes.groupBy("home").cogroup(tied.groupBy("bucket")).applyInArrow(lambda a, b: _cogroup(a, b, blocks, min_words), "bucket int, name binary, more binary, place binary, home int")
     ties = open_.repartition(n, "bucket").mapInArrow(_ties, "home int, name binary, place binary")
     return ties.groupBy("home").applyInArrow(lambda t: _spans(t, min_words), "doc_id long, start_word long, end_word long")
 
@@ -225,7 +249,7 @@ def _homes(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
 
 
 def _cogroup(docs: pa.Table, tied: pa.Table, blocks: int, min_words: int) -> pa.Table:
-    schema = pa.schema([("bucket", pa.int32()), ("name", pa.binary()), ("place", pa.binary()), ("home", pa.int32())])
+    schema = pa.schema([("bucket", pa.int32()), ("name", pa.binary()), ("more", pa.binary()), ("place", pa.binary()), ("home", pa.int32())])
     if not docs.num_rows or not tied.num_rows:
         return schema.empty_table()
     return pa.Table.from_batches(list(_candidates(docs, tied, blocks, min_words)), schema=schema)

@@ -80,7 +80,9 @@ def shingles(text, width=near_dedup.SHINGLE):
     return {tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))} if w else set()
 
 
-def test_near_duplicates(spark, docs, corpus):
+@pytest.mark.parametrize("tile", [near_dedup.TILE, 4])
+def test_near_duplicates(spark, docs, corpus, monkeypatch, tile):
+    monkeypatch.setattr(near_dedup, "TILE", tile)
     found = {tuple(r) for r in near_dedup.near_duplicates(docs).collect()}
     sets = {}
     for r in corpus:
@@ -113,17 +115,17 @@ def test_components_of_a_long_path(spark):
 
 
 def test_repeated_passages(spark, docs, corpus):
-    seen = Counter()
+    seen = defaultdict(set)
     texts = [(r[0], r[1].split()) for r in corpus if r[1] is not None]
     n = suffix_dedup.MIN_WORDS
-    for _, w in texts:
+    for k, (i, w) in enumerate(texts):
         for p in range(len(w) - n + 1):
-            seen[tuple(w[p : p + n])] += 1
+            seen[tuple(w[p : p + n])].add(("row", k) if i is None else i)
     want = Counter()
     for i, w in texts:
         spans = []
         for p in range(len(w) - n + 1):
-            if seen[tuple(w[p : p + n])] > 1:
+            if len(seen[tuple(w[p : p + n])]) > 1:
                 if spans and p <= spans[-1][1]:
                     spans[-1][1] = p + n
                 else:
@@ -238,7 +240,7 @@ def test_secrets(spark, docs):
     rows = [row(1, f"é start {key} and {key}."), row(1, f"é start {key} and {key}."), row(2, "a_long_identifier_name_of_things"), row(3, None), row(4, ""), row(5, "4785380592391139 1234567890123456"), row(None, f"id {key}"), row(6, "x " * 50_000 + key)]
     got = Counter((r["doc_id"], r["start"], r["length"]) for r in secrets.scan(wide(spark.createDataFrame(rows, DOCS)), secrets.train()).collect())
     assert got == Counter({(1, 8, 40): 2, (1, 53, 40): 2, (None, 3, 40): 1, (6, 100_000, 40): 1})
-    assert secrets.scan(docs, secrets.train()).count() == 0
+    assert secrets.scan(docs, secrets.train(docs)).count() == 0
 
 
 def test_language(spark, docs, corpus):
@@ -256,7 +258,7 @@ def test_empty_tables(spark):
     assert mixing.mix(none).count() == pieces.encoded(none, pieces.load()).count() == 0
     assert mtree.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert quality.accepted(none, quality.train(none, labels)).count() == 0
-    assert secrets.scan(none, secrets.train()).count() == language.identify(none, language.train(none)).count() == 0
+    assert secrets.scan(none, secrets.train(none)).count() == language.identify(none, language.train(none)).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.extracted(pages, html_extract.train(pages)).count() == 0
 
