@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 16 << 20
 
 
 def partitions(spark: SparkSession) -> int:

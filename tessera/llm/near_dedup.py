@@ -10,8 +10,12 @@ similarities few bits differ, and the estimate is at its most precise.
 Documents with equal samples are tied to the lowest id first, so copies enter the bands
 once.  Inside a band's bucket a search compares a node with those not reached yet only:
 it yields a spanning forest of all pairs clearly above the threshold, however large the
-bucket, and no partner is dropped.  Pairs about the threshold, where estimates err most,
-are settled by the shingles of their texts, in lower case without punctuation.  Groups are the connected components over all bands.
+bucket, and no partner is dropped.  A bucket of more than TILE documents is cut into
+tiles of which every two are searched together, in tasks of their own, so that no task
+grows with it.  Pairs about the threshold, where estimates err most, are settled by the
+shingles of their texts, in lower case without punctuation; those whose documents clear
+pairs have joined already need no settling.  Groups are the connected components over
+all bands.
 
 Defined results: null texts and texts without words are near no other; texts with fewer
 words than a shingle have one shingle of all their words; the lowest id of a group stays
@@ -43,6 +47,7 @@ THRESHOLD = 0.45
 #: Estimates from this much below the threshold to SURE above it are settled by the texts.
 MARGIN = 0.1
 SURE = 0.15
+TILE = 2048
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -173,7 +178,7 @@ def bucket_pairs(node: np.ndarray, sketch: np.ndarray, most: int, sure: int) ->
     return tuple(np.concatenate(z) for z in zip(*found))
 
 
-def _band_edges(batches: Iterator[pa.RecordBatch], most: int, sure: int) -> Iterator[pa.RecordBatch]:
+def _band_edges(batches: Iterator[pa.RecordBatch], most: int, sure: int, tile: int) -> Iterator[pa.RecordBatch]:
     def split() -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column("bucket").to_numpy()
@@ -193,13 +198,37 @@ def _band_edges(batches: Iterator[pa.RecordBatch], most: int, sure: int) -> Iter
         bits = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
         near = bits <= most
         found = [(node[x[near]], node[y[near]], bits[near] <= sure)]
-        found += [bucket_pairs(node[s : s + c], sketch[s : s + c], most, sure) for s, c in zip(start[size > 2], size[size > 2])]
+        found += [bucket_pairs(node[s : s + c], sketch[s : s + c], most, sure) for s, c in zip(start[(size > 2) & (size <= tile)], size[(size > 2) & (size <= tile)])]
         a, b, good = (np.concatenate(z) for z in zip(*found))
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), good], axis=1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] == 1)], names=["a", "b", "sure"])
     if ready:
         a, b = _edge_rows([x for x, _ in ready], [y for _, y in ready])
         yield pa.RecordBatch.from_arrays([a, b, pa.array(np.ones(len(a), bool))], names=["a", "b", "sure"])
+    tk.release()
+
+
+def _tiles(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.RecordBatch]:
+    """Every two tiles of each large bucket of a band."""
+    for _, rows in gather((b.filter(pc.greater_equal(b.column("bucket"), 0)) for b in batches), _ROWS_OUT):
+        order = np.lexsort((rows["node"], rows["key"]))
+        key = rows["key"][order]
+        for s, c in zip(*runs(key)):
+            if c <= tile:
+                continue
+            parts = np.array_split(order[s : s + c], -(-c // tile))
+            for i in range(len(parts)):
+                for j in range(i + 1, len(parts)):
+                    both = np.concatenate([parts[i], parts[j]])
+                    name = int(tk.mix(key[s : s + 1] + np.uint64(i * len(parts) + j))[0]) >> 1
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([rows["node"][both].tobytes()], pa.binary()), pa.array([rows["sketch"][both].tobytes()], pa.binary())], names=["tile", "node", "sketch"])
+
+
+def _tile_edges(batches: Iterator[pa.RecordBatch], most: int, sure: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, sketch in zip(batch.column("node").to_pylist(), batch.column("sketch").to_pylist()):
+            a, b, good = bucket_pairs(np.frombuffer(node, np.int64), np.frombuffer(sketch, np.uint64).reshape(-1, _WORDS), most, sure)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(good)], names=["a", "b", "sure"])
 
 
 def normalised(text: Column) -> Column:
@@ -236,9 +265,16 @@ def near_duplicate_edges(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text").cast("string")).alias("text"))
     signs = rows.mapInArrow(lambda it: _signatures(it, n), "bucket int, sign binary, node binary, sketch binary, bands binary")
     bands = signs.repartition(n, "bucket").mapInArrow(lambda it: _equal_samples(it, n), "bucket int, key binary, node binary, sketch binary")
-    found = cut(bands.repartition(n, "bucket").mapInArrow(lambda it: _band_edges(it, most, sure), "a long, b long, sure boolean"))
-    pairs = found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
-    doubtful = pairs.filter("NOT sure").select("a", "b")
+    tile = TILE
+    met, edge = bands.repartition(n, "bucket"), "a long, b long, sure boolean"
+    small = met.mapInArrow(lambda it: _band_edges(it, most, sure, tile), edge)
+    large = met.mapInArrow(lambda it: _tiles(it, tile), "tile long, node binary, sketch binary").repartition(n, "tile").mapInArrow(lambda it: _tile_edges(it, most, sure), edge)
+    found = cut(small.unionByName(large))
+    joined = cut(components(found.filter("sure").select("a", "b")))
+    pairs = found.filter("NOT sure").select("a", "b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(joined.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
+    doubtful = cut(pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
     asked = doubtful.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = cut(rows.join(asked, "doc_id", "left_semi"))
     both = doubtful.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
