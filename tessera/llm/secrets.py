@@ -9,7 +9,8 @@ No table labels secrets, so the labelled samples are made: random strings are dr
 the usual alphabets (hexadecimal, base 32, 62 and 64, with prefixes); ordinary identifiers
 are camel and snake case names, paths, dates and numbers from a list of stems and from
 the words of a bounded sample of the documents that are scanned, whatever their language.
-The threshold is what all but 1 in 1,000 of further ordinary identifiers stay under.
+The threshold is what all but 1 in 1,000 of further ordinary identifiers stay under, and
+THRESHOLD at least, as secrets are rare.
 
 Defined results: null and empty texts have no secrets; each occurrence is a row; a
 candidate or stretch must have ``MIN_LENGTH`` characters and a digit or mixed case within; plain
@@ -174,7 +175,7 @@ def train(docs: DataFrame | None = None, samples: int = SAMPLES, seed: int = 8)
 
     model = SecretModel(fit(random_strings(samples, rng)), fit(ordinary(samples)))
     held = [s for s in ordinary(samples) if plausible(s)]
-    model.threshold = float(np.clip(np.quantile(model.ratio(held), 0.999), 0.0, 2 * THRESHOLD)) if held else THRESHOLD
+    model.threshold = float(np.clip(np.quantile(model.ratio(held), 0.999), THRESHOLD, 2 * THRESHOLD)) if held else THRESHOLD
     return model
 
 
