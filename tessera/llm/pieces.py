@@ -35,13 +35,14 @@ from tessera.llm import textkit as tk
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: What an encoder holds at most: words whose ids it keeps, words that wait, characters of a Viterbi.
-CACHE_WORDS = 1 << 18
-_WAIT = 1 << 15
-_CELLS = 1 << 17
-_ROWS = 1024
+CACHE_WORDS = 1 << 20
+_WAIT = 1 << 17
+_CELLS = 1 << 18
+_ROWS = 4096
 _SLICE = 1 << 18
 WINDOW = 128
 _BASE = np.uint64(0xD6E8FEB86659FD93)
+_NEVER = np.iinfo(np.int64).max
 
 
 @dataclass
@@ -60,6 +61,7 @@ class PieceModel:
     longest: int
     bpe: bool
     seen: np.ndarray  # by the top 20 bits of a hash: whether a piece has them
+    pair_seen: np.ndarray | None = None  # the same for the pairs
 
     @property
     def size(self) -> int:
@@ -133,7 +135,10 @@ def load(path: str = MODEL, bpe: bool = True) -> PieceModel:
     for i in range(n):
         b = bytes([int(text[i][3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else text[i].replace(MARK, " ").encode()
         out.append(b)
-    return PieceModel(keys[o], np.array(usable)[o], scores, rank, left, right, np.array([k for k, _ in pairs], np.int64), np.array([i for _, i in pairs], np.int64), byte_ids, np.frombuffer(b"".join(out), np.uint8), np.r_[0, np.cumsum([len(b) for b in out])].astype(np.int64), max((len(text[i]) for i in usable), default=1), bpe, _seen(keys))
+    pair_keys = np.array([k for k, _ in pairs], np.int64)
+    pair_seen = np.zeros(1 << 20, bool)
+    pair_seen[_slot(pair_keys)] = True
+    return PieceModel(keys[o], np.array(usable)[o], scores, rank, left, right, pair_keys, np.array([i for _, i in pairs], np.int64), byte_ids, np.frombuffer(b"".join(out), np.uint8), np.r_[0, np.cumsum([len(b) for b in out])].astype(np.int64), max((len(text[i]) for i in usable), default=1), bpe, _seen(keys), pair_seen)
 
 
 def _seen(keys: np.ndarray) -> np.ndarray:
@@ -142,6 +147,11 @@ def _seen(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    """Where ``pair_seen`` says whether a pair may merge."""
+    return (pairs.view(np.uint64) * _BASE) >> np.uint64(64 - 20)
+
+
 def _find(sorted_keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The value of each wanted key, or -1."""
     if not len(sorted_keys):
@@ -160,15 +170,18 @@ def apart(model: PieceModel, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     result = np.ones(len(a), bool)
     live = np.flatnonzero((a < n) & (b < n))
     x, y = a[live], b[live]
-    limit = np.full(len(live), np.iinfo(np.int64).max)
+    limit = np.full(len(live), _NEVER)
     while len(live):
-        joined = _find(model.pair_keys, model.pair_ids, x * n + y)
-        joined_rank = np.where(joined >= 0, model.rank[joined], np.iinfo(np.int64).max)
-        bad = (joined >= 0) & (joined_rank < limit)
-        result[live[bad]] = False
+        key = x * n + y
+        stop = np.zeros(len(live), bool)
+        maybe = np.flatnonzero(model.pair_seen[_slot(key)])
+        if len(maybe):
+            joined = _find(model.pair_keys, model.pair_ids, key[maybe])
+            stop[maybe] = (joined >= 0) & (model.rank[joined] < limit[maybe])
+            result[live[stop]] = False
         rx, ry = model.rank[x], model.rank[y]
-        stop = bad | ((rx == 0) & (ry == 0))
-        live, x, y, rx, ry = live[~stop], x[~stop], y[~stop], rx[~stop], ry[~stop]
+        go = np.flatnonzero(~stop & ((rx | ry) != 0))
+        live, x, y, rx, ry = live[go], x[go], y[go], rx[go], ry[go]
         # the piece merged later is undone; at the seam a tie goes to the left pair
         later = rx > ry
         limit = np.where(later, rx, ry + 1)
@@ -392,9 +405,9 @@ class Encoder:
         codes = np.where(codes == 32, np.uint32(ord(MARK)), codes)
         ids, count = encode_words(self.model, codes, np.diff(lead[np.r_[0, np.cumsum(size)]]))
         made = np.arange(len(self.offset) - 1, len(self.offset) - 1 + len(names), dtype=np.int32)
-        every = np.r_[self.names, names]
-        order = np.argsort(every)
-        self.names, self.slots = every[order], np.r_[self.slots, made][order]
+        order = np.argsort(names)
+        at = np.searchsorted(self.names, names[order])
+        self.names, self.slots = np.insert(self.names, at, names[order]), np.insert(self.slots, at, made[order])
         self.offset = np.r_[self.offset, self.offset[-1] + np.cumsum(count)]
         self.flat = np.r_[self.flat, ids.astype(np.int32)]
         self._wait()
