@@ -36,7 +36,7 @@ def post_abstain(answer: Column) -> Column:
 
 def context_block(evidence: DataFrame) -> DataFrame:
     """(query_id, context): a line with label and text for each piece of evidence, in order."""
-    line = F.concat(F.lit("["), F.col("citation_label"), F.lit("] "), T.neutralize(F.col("snippet.text")))
+    line = F.concat(F.lit("["), T.neutralize(F.col("citation_label")), F.lit("] "), T.neutralize(F.col("snippet.text")))
     lines = evidence.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("lines"))
     return lines.select("query_id", F.array_join("lines.line", "\n").alias("context"))
 

@@ -121,7 +121,7 @@ def budget_summary(hits: DataFrame, evidence: DataFrame, budget: int, overhead:
     asked = hits.groupBy("query_id").agg(F.countDistinct("chunk_id").alias("asked"))
     both = asked.join(packed, "query_id", "left").fillna(0, ["result_count", "total_tokens", "hits"])
     out = both.select("query_id", "result_count", "total_tokens", (F.lit(room) - F.col("total_tokens")).alias("remaining_tokens"), F.lit(room).alias("budget"), (F.col("asked") - F.col("hits")).alias("overflow_count"))
-    return out.withColumn("recap", F.format_string("%d results, %d of %d tokens, %d left, %d over budget", "result_count", "total_tokens", "budget", "remaining_tokens", "overflow_count"))
+    return out.withColumn("recap", F.format_string("Budget: %d/%d tokens used (%d results fit, %d excluded, %d tokens remaining)", "total_tokens", "budget", "result_count", "overflow_count", "remaining_tokens"))
 
 
 def with_snippets(evidence: DataFrame, chunks: DataFrame, queries: DataFrame, sources: DataFrame, max_chars: int = 400) -> DataFrame:

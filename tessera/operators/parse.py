@@ -16,6 +16,7 @@ from tessera.functions import ids
 
 SECTION = "section_id string, source_id string, revision_id string, locator string, heading string, text string, ordinal int, parent_locator string, depth int"
 ROOT = "__root__"
+ERROR = "\x00error"
 Section = dict[str, object]
 Warnings = list[tuple[str, str]]
 
@@ -101,23 +102,36 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root: list = ["", {}, []]
         self.open = [self.root]
+        self.paragraph = -1  # where the outermost open paragraph is
+        self.count: dict[str, int] = {}  # open elements by tag
+
+    def _cut(self, at: int) -> None:
+        for node in self.open[at:]:
+            self.count[node[0]] -= 1
+        del self.open[at:]
+        if self.paragraph >= at:
+            self.paragraph = -1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _CONTAINERS:
-            names = [n[0] for n in self.open]
-            if "p" in names and not any(n in {"table", "button"} for n in names[names.index("p") :]):
-                del self.open[names.index("p") :]
+            if self.paragraph >= 0 and not any(n[0] in {"table", "button"} for n in self.open[self.paragraph :]):
+                self._cut(self.paragraph)
             if tag in {"li", "dt", "dd", "td", "th", "tr"} and self.open[-1][0] in ({"dt", "dd"} if tag in {"dt", "dd"} else {"td", "th"} if tag in {"td", "th"} else {tag}):
-                self.open.pop()
+                self._cut(len(self.open) - 1)
         node = [tag, dict(attrs), []]
         self.open[-1][2].append(node)
         if tag not in _VOID:
+            if tag == "p" and self.paragraph < 0:
+                self.paragraph = len(self.open)
             self.open.append(node)
+            self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.count.get(tag):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
-                del self.open[i:]
+                self._cut(i)
                 return
 
     def handle_data(self, data: str) -> None:
@@ -125,21 +139,53 @@ class _Tree(HTMLParser):
 
 
 def _plain(node: list) -> str:
-    return "".join(c if isinstance(c, str) else "" if c[0] in _SILENT else _plain(c) for c in node[2])
+    """All text of an element, as it is; elements may be nested to any depth."""
+    out, stack = [], [iter(node[2])]
+    while stack:
+        c = next(stack[-1], None)
+        if c is None:
+            stack.pop()
+        elif isinstance(c, str):
+            out.append(c)
+        elif c[0] not in _SILENT:
+            stack.append(iter(c[2]))
+    return "".join(out)
 
 
 def _inline(node: list) -> str:
-    """Text of an element with link targets in brackets."""
-    parts = []
-    for c in node[2]:
+    """Text of an element with link targets in brackets; elements may be nested to any depth."""
+    stack: list[tuple[list, Iterator, list[str]]] = [(node, iter(node[2]), [])]
+    while True:
+        of, rest, parts = stack[-1]
+        c = next(rest, None)
         if isinstance(c, str):
             parts.append(c.strip())
-        elif c[0] == "a":
-            anchor, target = " ".join(_inline(c).split()), c[1].get("href") or ""
-            parts.append(f"{anchor} [{target}]" if anchor and target else anchor)
-        elif c[0] not in _SILENT:
-            parts.append(_inline(c))
-    return re.sub(r" +", " ", " ".join(p for p in parts if p)).strip()
+        elif c is not None:
+            if c[0] not in _SILENT:
+                stack.append((c, iter(c[2]), []))
+        else:
+            text = re.sub(r" +", " ", " ".join(p for p in parts if p)).strip()
+            stack.pop()
+            if not stack:
+                return text
+            if of[0] == "a":
+                anchor, target = " ".join(text.split()), of[1].get("href") or ""
+                text = f"{anchor} [{target}]" if anchor and target else anchor
+            stack[-1][2].append(text)
+
+
+def _find(node: list, tag: str) -> list | None:
+    """The first element of a tag in document order."""
+    stack = [iter(node[2])]
+    while stack:
+        c = next(stack[-1], None)
+        if c is None:
+            stack.pop()
+        elif not isinstance(c, str):
+            if c[0] == tag:
+                return c
+            stack.append(iter(c[2]))
+    return None
 
 
 def parse_html(text: str, cleanup: Callable[[str], str] | None = None) -> tuple[list[Section], Warnings]:
@@ -148,15 +194,6 @@ def parse_html(text: str, cleanup: Callable[[str], str] | None = None) -> tuple[
     tree.feed(cleanup(text) if cleanup else text)
     tree.close()
 
-    def find(node: list, tag: str) -> list | None:
-        for c in node[2]:
-            if not isinstance(c, str):
-                if c[0] == tag:
-                    return c
-                if (deep := find(c, tag)) is not None:
-                    return deep
-        return None
-
     outline, out, warnings = Outline(), [], []
     parts: list[str] = []
     state = {"heading": "", "depth": 0, "ordinal": 0}
@@ -170,28 +207,29 @@ def parse_html(text: str, cleanup: Callable[[str], str] | None = None) -> tuple[
             out.append(outline.section(state["heading"], body, state["ordinal"], state["depth"]))
             state["ordinal"] += 1
 
-    def walk(node: list) -> None:
-        for c in node[2]:
-            if isinstance(c, str):
-                if c.strip():
-                    parts.append(" ".join(c.split()))
-            elif c[0] in _SILENT:
-                continue
-            elif re.fullmatch("h[1-6]", c[0]):
-                end()
-                title = " ".join(_plain(c).split())
-                state.update(heading=title, depth=int(c[0][1]))
-                outline.enter(state["depth"], title)
-            elif c[0] in _VERBATIM:
-                parts.append(_plain(c).strip("\n"))
-            elif c[0] in _WHOLE or c[0] == "a":
-                parts.append(_inline(c if c[0] != "a" else ["", {}, [c]]))
-            elif any(not isinstance(x, str) and x[0] in _CONTAINERS for x in c[2]) or c[0] in _CONTAINERS:
-                walk(c)
-            else:
-                parts.append(_inline(c))
-
-    walk(find(tree.root, "body") or tree.root)
+    stack = [iter((_find(tree.root, "body") or tree.root)[2])]
+    while stack:
+        c = next(stack[-1], None)
+        if c is None:
+            stack.pop()
+        elif isinstance(c, str):
+            if c.strip():
+                parts.append(" ".join(c.split()))
+        elif c[0] in _SILENT:
+            continue
+        elif re.fullmatch("h[1-6]", c[0]):
+            end()
+            title = " ".join(_plain(c).split())
+            state.update(heading=title, depth=int(c[0][1]))
+            outline.enter(state["depth"], title)
+        elif c[0] in _VERBATIM:
+            parts.append(_plain(c).strip("\n"))
+        elif c[0] in _WHOLE or c[0] == "a":
+            parts.append(_inline(c if c[0] != "a" else ["", {}, [c]]))
+        elif c[0] in _CONTAINERS or any(not isinstance(x, str) and x[0] in _CONTAINERS for x in c[2]):
+            stack.append(iter(c[2]))
+        else:
+            parts.append(_inline(c))
     end()
     if not any(s["heading"] for s in out):
         warnings.append(("html_missing_heading", ""))
@@ -244,7 +282,9 @@ PARSERS: dict[str, Callable[[str], tuple[list[Section], Warnings]]] = {
 def sections(docs: DataFrame, parser: str | Callable[[str], tuple[list[Section], Warnings]] = "markdown") -> DataFrame:
     """Sections of documents (uri, revision_id, content), with the warnings of their document.
 
-    A section's source_id is the document's uri.  Documents with null content have no section.
+    A section's source_id is the document's uri.  Documents with null content have no
+    section; one that its parser fails on gives a row with the locator ERROR and the
+    reason as text, and the others go on.
     """
     run = PARSERS[parser] if isinstance(parser, str) else parser
 
@@ -254,7 +294,10 @@ def sections(docs: DataFrame, parser: str | Callable[[str], tuple[list[Section],
             for uri, revision, content in zip(batch["uri"], batch["revision_id"], batch["content"]):
                 if content is None:
                     continue
-                found, warnings = run(content)
+                try:
+                    found, warnings = run(content)
+                except Exception as e:  # noqa: BLE001  one bad document must not fail the others
+                    found, warnings = [{"locator": ERROR, "heading": "", "text": f"{type(e).__name__}: {e}", "ordinal": 0, "parent_locator": "", "depth": 0}], []
                 for s in found:
                     rows.append((ids.digest_text("section", uri, revision, s["locator"]), uri, revision, s["locator"], s["heading"], s["text"], s["ordinal"], s["parent_locator"], s["depth"], [f"{c}: {m}" if m else c for c, m in warnings]))
             yield pd.DataFrame(rows, columns=[*[c.split()[0] for c in SECTION.split(", ")], "warnings"])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +45,18 @@ def change_counts(plan: DataFrame) -> DataFrame:
 
 def corpus_fingerprint(pointers: DataFrame, revisions: DataFrame) -> DataFrame:
     """One row (fingerprint) over the active revisions in the order of their ids; '' without any."""
-    rows = pointers.select("revision_id").join(revisions, "revision_id").select(F.struct("revision_id", F.concat_ws(":", "revision_id", "content_hash", "pipeline_fingerprint").alias("line")).alias("r"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "|")
-    return rows.agg(F.when(F.count(F.lit(1)) > 0, F.substring(F.sha2(joined, 256), 1, 32)).otherwise(F.lit("")).alias("fingerprint"))
+    rows = pointers.select("revision_id").join(revisions, "revision_id").select("revision_id", F.concat_ws(":", "revision_id", "content_hash", "pipeline_fingerprint").alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, some = hashlib.sha256(), False
+        for batch in batches:
+            for line in batch.column("line").to_pylist():
+                state.update((f"|{line}" if some else line).encode())
+                some = True
+        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()[:32] if some else ""])], names=["fingerprint"])
+
+    # one digest of all lines in order: a single task sorts, which spills, and streams narrow rows
+    return rows.repartition(1).sortWithinPartitions("revision_id").select("line").mapInArrow(run, "fingerprint string")
 
 
 def active_uris(pointers: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import ids
@@ -24,7 +24,6 @@ from tessera.plans.snapshot import SCHEMA_VERSION, SnapshotStore, now_iso
 from tessera.sources.connectors import Connector
 
 SUCCESS, PARTIAL, FAILED = "success", "partial", "failed"
-_ERROR = "\x00error"
 SHOWN_ERRORS = 100
 
 
@@ -56,7 +55,7 @@ class SyncEngine:
     store: SnapshotStore
     corpus: str
     connector: Connector
-    parser: str = "markdown"
+    parser: str | Callable = "markdown"
     chunker: dict = field(default_factory=lambda: {"max_tokens": chunk.MAX_TOKENS, "overlap": chunk.OVERLAP})
     embedder: object | None = None
     enricher: enrich.Enricher | None = None
@@ -70,7 +69,7 @@ class SyncEngine:
     @property
     def fingerprint(self) -> str:
         e = self.embedder
-        return ids.pipeline_fingerprint(f"{self.parser}-1", self.chunker, self.enricher.name if self.enricher else "", e.name if e else "", e.dimension if e else 0, SCHEMA_VERSION)
+        return ids.pipeline_fingerprint(f"{self.parser if isinstance(self.parser, str) else getattr(self.parser, '__name__', 'custom')}-1", self.chunker, self.enricher.name if self.enricher else "", e.name if e else "", e.dimension if e else 0, SCHEMA_VERSION)
 
     def sync(self) -> SyncReport:
         spark, fp, stages = self.store.spark, self.fingerprint, Stages(self.observer)
@@ -130,17 +129,6 @@ class SyncEngine:
         plan = plan if self.whole else plan.filter(F.col("change") != changes.DELETED)
         return plan, changes.change_counts(plan).first().asDict()
 
-    def _parser(self) -> Callable:
-        run = parse.PARSERS[self.parser] if isinstance(self.parser, str) else self.parser
-
-        def safe(content: str):  # noqa: ANN202
-            try:
-                return run(content)
-            except Exception as e:  # noqa: BLE001  one bad document must not fail the others
-                return [{"locator": _ERROR, "heading": "", "text": f"{type(e).__name__}: {e}", "ordinal": 0, "parent_locator": "", "depth": 0}], []
-
-        return safe
-
     def _build(self, stages: Stages, snapshot: str, raw: DataFrame, plan: DataFrame, fp: str, build_run: str) -> dict:
         store, corpus = self.store, self.corpus
         work = plan.filter(F.col("change").isin("new", "changed", "incompatible"))
@@ -148,13 +136,13 @@ class SyncEngine:
         source = ids.source_id(corpus, F.col("uri"))
         todo = todo.withColumn("revision_id", ids.revision_id(source, F.col("content_hash"), fp))
         with stages("parse"):
-            made = parse.sections(todo.select("uri", "revision_id", "content"), self._parser())
+            made = parse.sections(todo.select("uri", "revision_id", "content"), self.parser)
             made.write.parquet(f"{store.root}/{snapshot}/_sections")
             found = store.spark.read.schema(made.schema).parquet(f"{store.root}/{snapshot}/_sections")
-            bad = found.filter(F.col("locator") == _ERROR).select(F.col("source_id").alias("canonical_uri"), "text")
+            bad = found.filter(F.col("locator") == parse.ERROR).select(F.col("source_id").alias("canonical_uri"), "text")
             errors = self._log_errors(build_run, bad)
         with stages("chunk"):
-            pieces = chunk.chunks(found.filter(F.col("locator") != _ERROR), corpus, fp, self.chunker["max_tokens"], self.chunker["overlap"])
+            pieces = chunk.chunks(found.filter(F.col("locator") != parse.ERROR), corpus, fp, self.chunker["max_tokens"], self.chunker["overlap"])
             if self.enricher is not None:
                 pieces = enrich.enrich(pieces, self.enricher)
             done = todo.join(bad, todo["uri"] == bad["canonical_uri"], "left_anti")
@@ -164,7 +152,8 @@ class SyncEngine:
             def keep(name: str) -> DataFrame:
                 return store.table(name).join(gone, ["corpus_id", "canonical_uri"], "left_anti")
 
-            chunk_rows = store.stage(snapshot, "chunks", pieces)
+            made_here = Observation()
+            chunk_rows = store.stage(snapshot, "chunks", pieces.observe(made_here, F.count(F.lit(1)).alias("n")))
             old = store.table("chunks").join(dead, "revision_id", "left_semi")
             superseded = old.count()
         with stages("embed"):
@@ -173,7 +162,9 @@ class SyncEngine:
                 vectors = dense.embed(chunk_rows, self.embedder, cache.select("chunk_id", "vector"))
                 vectors = store.stage(snapshot, "embeddings", dense.checked(vectors, self.embedder.dimension, self.embedder.similarity))
         with stages("validate"):
-            expected = found.filter(F.col("locator") != _ERROR).select("revision_id").distinct().join(chunk_rows.groupBy("revision_id").agg(F.count(F.lit(1)).alias("n")), "revision_id", "left")
+            if (stored := chunk_rows.count()) != made_here.get["n"]:
+                raise ValueError(f"{made_here.get['n']} chunks were made and {stored} stored")
+            expected = found.filter(F.col("locator") != parse.ERROR).select("revision_id").distinct().join(chunk_rows.groupBy("revision_id").agg(F.count(F.lit(1)).alias("n")), "revision_id", "left")
             expected = expected.select("revision_id", F.coalesce("n", F.lit(0)).alias("expected_chunks"), F.lit(fp).alias("pipeline_fingerprint"))
             wrong = changes.validate_revisions(chunk_rows, vectors if self.embedder is not None else None, expected, fp, self.embedder.dimension if self.embedder else None).filter(F.size("errors") > 0)
             if problems := wrong.limit(5).collect():
@@ -192,12 +183,12 @@ class SyncEngine:
             store.stage(snapshot, "revisions", store.table("revisions").join(revs.select("revision_id"), "revision_id", "left_anti").unionByName(revs))
             point = done.select(F.lit(corpus).alias("corpus_id"), F.col("uri").alias("canonical_uri"), "revision_id", F.lit(at).alias("promoted_at"))
             store.stage(snapshot, "pointers", keep("pointers").unionByName(point))
-            changed, added = gone.count(), chunk_rows.count()
+            changed = gone.count()
             store.promote(snapshot)
             store.files.delete(f"{store.root}/{snapshot}/_sections")
         if len(store.segments()) > self.compact_at:
             store.compact()
-        return {"promoted": True, "errors": errors, "sources_changed": changed, "chunks_added": added, "chunks_deleted": superseded}
+        return {"promoted": True, "errors": errors, "sources_changed": changed, "chunks_added": stored, "chunks_deleted": superseded}
 
 
 def index_fields(chunks: DataFrame) -> DataFrame:

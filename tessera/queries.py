@@ -619,11 +619,12 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     SELECT conv_id, CAST(count(*) AS BIGINT) AS result_count, CAST(sum(CAST(ceil(length(text) / 4.0) AS BIGINT)) AS BIGINT) AS total_tokens,
-        CAST(1000000 - sum(CAST(ceil(length(text) / 4.0) AS BIGINT)) AS BIGINT) AS remaining_tokens, CAST(0 AS BIGINT) AS overflow_count
+        CAST(1000000 - sum(CAST(ceil(length(text) / 4.0) AS BIGINT)) AS BIGINT) AS remaining_tokens, CAST(0 AS BIGINT) AS overflow_count,
+        'Budget: ' || sum(CAST(ceil(length(text) / 4.0) AS BIGINT)) || '/1000000 tokens used (' || count(*) || ' results fit, 0 excluded, ' || (1000000 - sum(CAST(ceil(length(text) / 4.0) AS BIGINT))) || ' tokens remaining)' AS recap
     FROM conversations GROUP BY conv_id""")
 def budget_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.concat_ws("/", "conv_id", "turn").alias("chunk_id"), T.token_count(F.col("text")).alias("token_count"), F.lit("hit").alias("role"))
-    return context.budget_summary(rows, rows, 1_000_000).select(F.col("query_id").alias("conv_id"), "result_count", "total_tokens", "remaining_tokens", "overflow_count")
+    return context.budget_summary(rows, rows, 1_000_000).select(F.col("query_id").alias("conv_id"), "result_count", "total_tokens", "remaining_tokens", "overflow_count", "recap")
 
 
 # answers: a turn's text with labels stands for what a generator wrote

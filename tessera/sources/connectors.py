@@ -7,7 +7,7 @@ external_url, error); a document that can't be read has a null content and an er
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterator
 from pathlib import Path
 from typing import Protocol, runtime_checkable
 from urllib.parse import quote, unquote, urlparse
@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tessera.errors import IngestionError
 from tessera.functions import media
 
+PER_TASK = 64
 RAW = "uri string, content string, media_type string, external_url string, error string"
 
 
@@ -76,14 +77,24 @@ class FilesystemConnector:
         typed = known.withColumn("media_type", media.media_type(F.col("uri")))
         text = typed.filter(media.is_text(F.col("media_type")))
         other = typed.filter(~media.is_text(F.col("media_type"))).select("uri", F.lit(None).cast("string").alias("content"), "media_type", "external_url", F.concat(F.lit("not a text type: "), "media_type").alias("error"))
-        paths = [r[0] for r in text.select("path").collect()]
-        if not paths:
-            return other
-        raw = spark.read.format("binaryFile").load([re.sub(r"([\\*?\[{])", r"\\\1", p) for p in paths])
-        raw = raw.select(F.url_decode(F.replace(F.regexp_replace("path", "^file:/*", "/"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("content").alias("bytes"))
-        read = text.join(raw, "path", "left").withColumn("content", F.when(F.is_valid_utf8(F.col("bytes").cast("string")), F.col("bytes").cast("string")))
-        why = F.when(F.col("bytes").isNull(), "can't be read").when(F.col("content").isNull(), "not valid UTF-8")
-        return read.select("uri", "content", "media_type", "external_url", why.alias("error")).unionByName(other)
+
+        def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = [_text_of(path) for path in batch.pop("path")]
+                yield batch.assign(content=[c for c, _ in found], error=[e for _, e in found])
+
+        read = text.repartition(max(1, -(-len(uris) // PER_TASK))).mapInPandas(fetch, "uri string, external_url string, media_type string, content string, error string")
+        return read.select("uri", "content", "media_type", "external_url", "error").unionByName(other)
+
+
+def _text_of(path: str) -> tuple[str | None, str | None]:
+    """(text, None) of a file, or (None, why not)."""
+    try:
+        return Path(path).read_bytes().decode("utf-8"), None
+    except UnicodeDecodeError:
+        return None, "not valid UTF-8"
+    except OSError as e:
+        return None, f"can't be read: {e}"
 
 
 class MemoryConnector:
@@ -127,7 +138,7 @@ class _Files(InputPartition):
 class _DocumentReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.connector = FilesystemConnector(options["path"], tuple(options.get("patterns", "**/*").split(",")))
-        self.per_task = int(options.get("filespertask", "64"))
+        self.per_task = int(options.get("filespertask", PER_TASK))
 
     def partitions(self) -> list[InputPartition]:
         paths = [uri_path(u) for u in self.connector.list_sources()]
@@ -135,10 +146,7 @@ class _DocumentReader(DataSourceReader):
 
     def read(self, partition: _Files):  # noqa: ANN201
         for path in partition.paths:
-            try:
-                yield (file_uri(path), Path(path).read_bytes().decode("utf-8"), None)
-            except (OSError, UnicodeDecodeError) as e:
-                yield (file_uri(path), None, str(e))
+            yield (file_uri(path), *_text_of(path))
 
 
 class DocumentSource(DataSource):

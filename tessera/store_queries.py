@@ -316,3 +316,32 @@ def alias_index(spark: SparkSession, d: str) -> DataFrame:
     asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("query_vector"), F.lit(None).cast("string").alias("corpus_id"), F.lit(None).cast("int").alias("top_k"))
     hits = c.query_index("kb", asked, predicate=F.col("label") >= 2, threshold=0.1, digits=6)
     return hits.select("query_id", "chunk_id", "rank", F.round("dense_score", 6).alias("score"))
+
+
+@query(_chunks_sql(_fingerprint("", "length-embedder", 2)) + f"""
+    , v AS (SELECT *, CAST(length(text) AS DOUBLE) AS a, CAST(1 + length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS b, first_value(conv_id) OVER (ORDER BY conv_id, turn) = conv_id AND turn = 0 AS asked, count(*) OVER () AS active_chunks FROM c)
+    SELECT chunk_id, text, {_VECTOR.format("a")} AS x, revision_id, active_chunks FROM v WHERE asked""")
+def point_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """A chunk, its embedding, and its source's active revision, by their keys."""
+    store, rows = _store(spark), _turns(spark, d)
+    _sync(store, rows, embedder=LengthEmbedder())
+    uri = rows.filter("turn = 0").orderBy("conv_id").first()["uri"]
+    chunk = store.table("chunks").filter(F.col("canonical_uri") == uri).first()
+    found = store.get_chunk(chunk["chunk_id"]).select("chunk_id", "text")
+    vector = store.get_embedding(chunk["chunk_id"]).select("chunk_id", F.round(F.col("vector")[0].cast("double"), 5).alias("x"))
+    more = found.join(vector, "chunk_id").withColumn("revision_id", F.lit(store.active_revision("talk", uri)))
+    return more.withColumn("active_chunks", F.lit(store.count_active_chunks("talk")).cast("long"))
+
+
+@query("""
+    WITH t AS (SELECT conv_id, turn, regexp_replace(text, '\\s+$', '') || chr(10) || '```' || chr(10) || repeat('a line of code in a fence' || chr(10), 400) || '```' AS one FROM conversations)
+    SELECT conv_id, turn, 0 AS ordinal, one AS text FROM t UNION ALL SELECT conv_id, turn, 1, 'after the fence' FROM t""")
+def fenced_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """A fence far over the bound stays whole, with the turn's text before it; what follows is the next chunk."""
+    from tessera.operators import chunk
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: chunk.split_text(t.rstrip() + "\n```\n" + "a line of code in a fence\n" * 400 + "```\nafter the fence\n", chunk.MAX_TOKENS, 0))
+
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.posexplode(cut("text")).alias("ordinal", "text"))

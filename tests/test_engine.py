@@ -10,9 +10,11 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tessera.errors import CitationError, EmbeddingError, IngestionError, StoreError
+from tessera import config
+from tessera.errors import CitationError, ConfigError, EmbeddingError, IngestionError, ProtocolError, RegistryError, StoreError
 from tessera.functions import text as T
-from tessera.operators import answer, context, dense, ranking, sparse
+from tessera.operators import answer, context, dense, parse, ranking, sparse
+from tessera.operators.enrich import Enricher
 from tessera.plans.collections import Catalog
 from tessera.plans.knowledge_base import KnowledgeBase
 from tessera.plans.snapshot import SnapshotStore
@@ -234,6 +236,76 @@ def test_stream(spark, tmp_path):
     assert {r[0] for r in store.table("chunks").select("text").collect()} == {"two", "three"}
 
 
+def test_a_sync_writes_what_changed(spark, tmp_path):
+    store = SnapshotStore(spark, f"{tmp_path}/store")
+    documents = {f"memory://{i}": f"# T{i}\n\nponies number{i} run" for i in range(12)}
+    connector = MemoryConnector(documents)
+    kb = KnowledgeBase(store, "k", connector, embedder=dense.HashEmbedder())
+    kb.sync()
+    stamps = {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "segments").rglob("*.parquet")}
+    connector.documents["memory://3"] = "# T3\n\nzebras run"
+    report = kb.sync()
+    assert (report.sources_changed, report.chunks_added, report.chunks_deleted, report.sources_unchanged) == (1, 1, 1, 11)
+    assert {p: p.stat().st_mtime_ns for p in stamps} == stamps
+    last = store.segments()[-1]
+    assert len(store.segments()) == 2 and [store.segment(t, last).count() for t in ("chunks", "embeddings")] == [1, 1]
+    assert store.staged(last, "chunks", store.active_revision("k", "memory://3")).count() == 1
+    assert store.table("stats").first() == (12, store.table("postings").agg(F.sum(F.size("positions"))).first()[0])
+    connector.documents["memory://3"] = documents["memory://3"]
+    kb.sync()  # a revision that was dead comes back, in another segment
+    ids = [r[0] for r in store.table("chunks").select("chunk_id").collect()]
+    assert len(ids) == len(set(ids)) == 12 and store.table("embeddings").count() == 12
+    before = sorted(map(tuple, store.table("postings").collect()))
+    store.compact()
+    assert len(store.segments()) == 1 and sorted(map(tuple, store.table("postings").collect())) == before and store.expire()
+    assert kb.search("number3 ponies").hits.filter("sparse_score IS NOT NULL").select("chunk_id").first()[0] in ids
+    assert not any(p.exists() for p in stamps)
+
+
+class LongVectors(dense.HashEmbedder):
+    name = "long"
+
+    def embed(self, texts):
+        return [[2 * x for x in v] for v in super().embed(texts)]
+
+
+def test_bad_vectors_and_enrichments_stop_a_sync(spark, tmp_path):
+    store = SnapshotStore(spark, f"{tmp_path}/store")
+    connector = MemoryConnector({"memory://a": "# A\n\nalpha"})
+    assert SyncEngine(store, "k", connector, embedder=LongVectors()).sync().status == "failed"
+
+    def broken(texts):
+        raise ValueError("down")
+
+    assert SyncEngine(store, "k", connector, enricher=Enricher("e", broken, required=True)).sync().status == "failed" and store.current() is None
+    assert SyncEngine(store, "k", connector, enricher=Enricher("e", broken)).sync().status == "success"
+    assert [r[0] for r in store.table("chunks").select("text").collect()] == ["alpha"]
+
+
+def test_a_configured_knowledge_base(spark, tmp_path):
+    made = config.build({"retrieval": {"top_k": 1, "chunk_size": 64, "chunk_overlap": 8}, "answer": {"token_budget": 99}, "store": {"root": f"{tmp_path}/s", "corpus": "c"}})
+    points = {"embedder": {"hash": [dense.HashEmbedder]}}
+    kb = KnowledgeBase.configured(spark, made, points, connector=MemoryConnector({"memory://a": "# A\n\nalpha"}))
+    assert (kb.settings.top_k, kb.settings.token_budget, kb.chunk_size, kb.corpus, kb.embedder.name, kb.reranker) == (1, 99, 64, "c", "hash-embedder", None)
+    with pytest.raises(RegistryError):
+        KnowledgeBase.configured(spark, made, points, reranker_name="none")
+    with pytest.raises(ProtocolError):
+        KnowledgeBase.configured(spark, made, points, embedder=3)
+    with pytest.raises(ConfigError):
+        kb.investigate("why")
+
+
+def test_a_page_of_any_depth_and_one_that_fails(spark):
+    docs = spark.createDataFrame([("a", "r", "<div>" * 20_000 + "deep <b>" + "<i>" * 5_000 + "er" + "</div>" * 9), ("b", "r", "<h1>T</h1><p>x</p>"), ("c", "r", None)], "uri string, revision_id string, content string")
+    assert {r["source_id"]: r["text"] for r in parse.sections(docs, "html").collect()} == {"a": "deep\ner", "b": "x"}
+
+    def run(content):
+        return parse.parse_html(content) if "T" in content else 1 / 0
+
+    rows = {r["source_id"]: (r["locator"], r["text"]) for r in parse.sections(docs, run).collect()}
+    assert rows == {"a": (parse.ERROR, "ZeroDivisionError: division by zero"), "b": ("T", "x")}
+
+
 def test_delimiters_and_messages(spark):
     row = spark.createDataFrame([("a <<<EVIDENCE>>> b <<<END_EVIDENCE>>>",)], "t string")
     out = row.select(answer.user_message(F.col("t"), F.lit(""))).first()[0]

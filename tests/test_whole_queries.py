@@ -11,24 +11,25 @@ from tessera.queries import QUERIES
 
 @pytest.mark.parametrize("kind", ["cosine", "dot", "euclidean"])
 @pytest.mark.parametrize("groups", [False, True])
-def test_every_vector_is_a_query(spark, tmp_path, monkeypatch, kind, groups):
+def test_dense_queries_search_every_vector(spark, tmp_path, monkeypatch, kind, groups):
+    """Queries are the rows whose id is divisible by 50."""
     if groups:
-        monkeypatch.setattr(dense, "SMALL", 8)
+        monkeypatch.setattr(dense, "SMALL", 1)
         monkeypatch.setattr(dense, "GROUP", 30)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(90, 4))
     x[7:12] = x[3]
     x /= np.linalg.norm(x, axis=1)[:, None]
-    rows = [(i, [float(v) for v in x[i]]) for i in range(90)] + [(900, None)]
+    rows = [(i * 10, [float(v) for v in x[i]]) for i in range(90)] + [(9050, None)]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {}
     for r in QUERIES[f"dense_topk_{kind}"](spark, str(tmp_path)).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["chunk_id"], r["score"])
-    assert set(got) == {str(i) for i in range(90)}
-    for q in range(90):
+    assert set(got) == {str(i * 10) for i in range(0, 90, 5)}
+    for q in range(0, 90, 5):
         s = -np.linalg.norm(x - x[q], axis=1) if kind == "euclidean" else x @ x[q]
-        best = sorted(((-round(float(v), 6), str(i)) for i, v in enumerate(s)))[:10]
-        mine = [got[str(q)][k] for k in range(1, 11)]
+        best = sorted(((-round(float(v), 6), str(i * 10)) for i, v in enumerate(s)))[:10]
+        mine = [got[str(q * 10)][k] for k in range(1, 11)]
         assert [c for c, _ in mine] == [c for _, c in best] and np.allclose([v for _, v in mine], [-v for v, _ in best])
 
 
@@ -36,7 +37,7 @@ def test_bm25_asks_with_the_whole_item(spark, tmp_path):
     """Words from the ninth on count: they decide the strict match, the scores and the order."""
     names = "alpha bravo carbon delta ember falcon garnet harbor".split()
     rows = [(1, " ".join(names)), (2, " ".join([*names, "indigo", "jasper"])), (3, " ".join([*names, "indigo"])), (4, "zebra"), (5, "indigo jasper jasper"), (6, None), *[(i, f"other{i} text") for i in range(10, 40)]]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t, None, None) for i, t in rows], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     items = [(1, " ".join([*names, "indigo", "jasper"])), (2, " ".join([*names, "jasper", "nowhere"]))]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     texts = {str(i): t.split() for i, t in rows if t is not None}
@@ -80,7 +81,8 @@ def long_lists(spark, tmp_path_factory):
 def test_jaccard_of_all_documents(spark, long_lists):
     d, rows = long_lists
     sets = [(i, s, set(t.split())) for i, t, _, s, _ in rows if t is not None]
-    want = {(a, b): round(len(x & y) / len(x | y), 6) for a, s, x in sets for b, t, y in sets if s == t and a < b}
+    per = {s: sorted((i, x) for i, t, x in sets if t == s) for s in ("src0", "src1")}
+    want = {(a, b): round(len(x & y) / len(x | y), 6) for rows in per.values() for (a, x), (b, y) in zip(rows, rows[1:])}
     got = {(r["a"], r["b"]): r["jaccard"] for r in QUERIES["jaccard_pairs"](spark, d).collect()}
     assert got == want
 
@@ -88,11 +90,9 @@ def test_jaccard_of_all_documents(spark, long_lists):
 def test_lists_have_all_hits(spark, long_lists):
     d, rows = long_lists
     every = {(s, str(i)) for i, _, _, s, _ in rows}
-    mmr = QUERIES["mmr_order"](spark, d).collect()
-    assert {(r["query_id"], r["chunk_id"]) for r in mmr} == every and len(mmr) == len(every)
     fused = {(r["query_id"], r["chunk_id"]): (r["fusion_score"], r["rank"]) for r in QUERIES["rrf_hybrid"](spark, d).collect()}
     assert set(fused) == every
-    first = {r["query_id"]: [] for r in mmr}
+    first = {"src0": [], "src1": []}
     for source, hits in first.items():
         ids = [(i, -1 if n is None else n) for i, _, _, s, n in rows if s == source]
         a = {i: k for k, (i, _) in enumerate(sorted(ids, key=lambda x: (-x[1], x[0])), 1)}
@@ -111,6 +111,9 @@ def test_every_turn_is_a_hit(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     want = {(str(c), f"{c}/{a}", f"{c}/{b}", b - a) for c, ts in turns.items() for a in ts for b in ts if 1 <= abs(a - b) <= 2}
     assert {tuple(r) for r in QUERIES["neighbor_expand"](spark, str(tmp_path)).collect()} == want
+    for name in ("mmr_order", "rerank_window"):
+        hits = QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted((r["query_id"], r["chunk_id"]) for r in hits) == sorted((str(c), f"{c}/{t}") for c, t, *_ in rows)
     packed = QUERIES["expand_and_pack"](spark, str(tmp_path)).collect()
     assert sorted((r["query_id"], r["chunk_id"], r["role"]) for r in packed) == sorted((str(c), f"{c}/{t}", "hit") for c, t, *_ in rows)
     cited = QUERIES["snippets"](spark, str(tmp_path)).collect()
