@@ -80,11 +80,11 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 
 def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most ``rows`` rows; at the end freed memory goes back to the machine."""
+    """The batches in parts of at most ``rows`` rows; what a part needed goes back to the machine."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
-    release()
+            release()
 
 
 def release() -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import CitationError
 from tessera.functions import text as T
-from tessera.plans.snapshot import written
+from tessera.operators.shared import written
 
 ABSTAIN = "ABSTAIN"
 EXCERPT = 200

@@ -21,12 +21,15 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.porter import stem
+from tessera.operators.shared import written
 
 K1, B = 1.2, 0.75
 FIELDS = ("text", "heading", "code")
 WEIGHTS = (1.0, 10.0, 5.0)
 EVEN = (1.0, 1.0, 1.0)
 DEFAULT_K = 10
+#: Phrases of a batch that travel to all tasks.
+SMALL = 500_000
 POSTINGS = "corpus_id string, chunk_id string, revision_id string, field tinyint, term string, positions array<int>, length bigint"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -103,30 +106,38 @@ def scores(asked: DataFrame, posts: DataFrame, stats: DataFrame, weights: tuple[
     """(query_id, chunk_id, strict, score, top_k) of all chunks with a phrase of a query (``phrases``).
 
     ``strict`` says whether a branch holds: then the score sums the branches that do, else
-    all content words.
+    all content words.  The postings of the batch's terms move once, to their chunk; what
+    follows stays there.  A batch of more than SMALL phrases is joined by shuffles instead.
     """
+    asked = written(asked)
+    small = asked.count() <= SMALL
+    near = F.broadcast if small else (lambda rows: rows)
     # phrases are looked up once, however many queries have them
-    wanted = asked.select("terms").distinct()
+    wanted = written(asked.select("terms").distinct().withColumn("phrase", F.row_number().over(Window.orderBy("terms"))))
+    base = F.col("branch") == 0
+    need = asked.groupBy("query_id").agg(F.count(F.when(base, 1)).alias("need"))
+    lines = asked.groupBy("query_id", "corpus_id", "top_k", base.alias("base"), "terms").agg(F.count(F.lit(1)).alias("times"))
+    lines = lines.join(wanted, "terms").join(need, "query_id").select("query_id", "corpus_id", "top_k", "base", "phrase", "times", "need")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("field").cast("int") + 1)
-    one = wanted.filter(F.size("terms") == 1).select("terms", F.col("terms")[0].alias("term"))
-    single = posts.join(one, "term").select("terms", "chunk_id", "corpus_id", "length", (weight * F.size("positions")).alias("w"))
-    steps = wanted.filter(F.size("terms") > 1).select("terms", F.posexplode("terms").alias("step", "term"))
-    hits = posts.join(steps, "term").select("terms", "chunk_id", "corpus_id", "length", "field", F.explode(F.transform("positions", lambda p: p - F.col("step"))).alias("anchor"))
-    whole = hits.groupBy("terms", "chunk_id", "corpus_id", "length", "field", "anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == F.size("terms"))
-    tf = single.unionByName(whole.select("terms", "chunk_id", "corpus_id", "length", weight.alias("w"))).groupBy("terms", "chunk_id", "corpus_id", "length").agg(F.sum("w").alias("tf"))
-    df = tf.groupBy("terms").agg(F.count(F.lit(1)).alias("df"))
+    one = wanted.filter(F.size("terms") == 1).select("phrase", F.col("terms")[0].alias("term"))
+    single = posts.join(near(one), "term").select("phrase", "chunk_id", "corpus_id", "length", (weight * F.size("positions")).alias("w"))
+    steps = wanted.filter(F.size("terms") > 1).select("phrase", F.size("terms").alias("size"), F.posexplode("terms").alias("step", "term"))
+    hits = posts.join(near(steps), "term").select("phrase", "chunk_id", "corpus_id", "length", "field", "size", F.explode(F.transform("positions", lambda p: p - F.col("step"))).alias("anchor"))
+    whole = hits.groupBy("phrase", "chunk_id", "corpus_id", "length", "field", "anchor", "size").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") == F.col("size"))
+    both = single.unionByName(whole.select("phrase", "chunk_id", "corpus_id", "length", weight.alias("w")))
+    tf = both.repartition("chunk_id").groupBy("phrase", "chunk_id", "corpus_id", "length").agg(F.sum("w").alias("tf"))
+    df = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # the table of statistics has one row
-    idf = df.crossJoin(F.broadcast(stats)).select("terms", (F.col("total") / F.greatest("n_docs", F.lit(1))).alias("avg_len"), F.when(raw <= 0, F.lit(1e-6)).otherwise(raw).alias("idf"))
+    idf = df.crossJoin(F.broadcast(stats)).select("phrase", (F.col("total") / F.greatest("n_docs", F.lit(1))).alias("avg_len"), F.when(raw <= 0, F.lit(1e-6)).otherwise(raw).alias("idf"))
     norm = F.col("tf") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("avg_len"))
-    worth = tf.join(idf, "terms").select("terms", "chunk_id", F.col("corpus_id").alias("chunk_corpus"), (F.col("idf") * F.col("tf") * F.lit(K1 + 1) / norm).alias("part"))
-    need = asked.groupBy("query_id").agg(F.count(F.when(F.col("branch") == 0, 1)).alias("need"))
+    worth = tf.join(near(idf), "phrase").select("phrase", "chunk_id", F.col("corpus_id").alias("chunk_corpus"), (F.col("idf") * F.col("tf") * F.lit(K1 + 1) / norm).alias("part"))
     inside = F.col("corpus_id").isNull() | (F.col("corpus_id") == F.col("chunk_corpus"))
-    base = F.col("branch") == 0
-    found = asked.join(need, "query_id").join(worth, "terms").filter(inside).groupBy("query_id", "chunk_id", "top_k", "need").agg(
-        F.count(F.when(base, 1)).alias("have"), F.coalesce(F.sum(F.when(base, F.col("part"))), F.lit(0.0)).alias("words"), F.sum(F.when(~base, F.col("part"))).alias("names")
+    of_words = F.when(F.col("base"), F.col("part") * F.col("times"))
+    found = worth.join(near(lines), "phrase").filter(inside).groupBy("query_id", "chunk_id", "top_k", "need").agg(
+        F.sum(F.when(F.col("base"), F.col("times"))).alias("have"), F.coalesce(F.sum(of_words), F.lit(0.0)).alias("words"), F.sum(F.when(~F.col("base"), F.col("part"))).alias("names")
     )
-    every = (F.col("have") == F.col("need")) & (F.col("need") > 0)
+    every = F.coalesce((F.col("have") == F.col("need")) & (F.col("need") > 0), F.lit(False))
     score = F.when(every, F.col("words")).otherwise(F.lit(0.0)) + F.coalesce("names", F.lit(0.0))
     strict = every | F.col("names").isNotNull()
     return found.select("query_id", "chunk_id", "top_k", strict.alias("strict"), F.when(strict, score).otherwise(F.col("words")).alias("score"))

@@ -13,7 +13,6 @@ lie wherever the cluster's tables do.
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from datetime import UTC, datetime
 
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.errors import StoreError
+from tessera.operators.shared import shared_folder, written
 from tessera.operators.sparse import POSTINGS
 
 SCHEMA_VERSION = 2
@@ -248,24 +248,6 @@ class SnapshotStore:
         return self.spark.read.schema(RUNS).parquet(f"{self.root}/build_runs")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where it is unset, a temporary one in local mode only."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        if not spark.sparkContext.master.startswith("local"):
-            raise StoreError("spark.checkpoint.dir must name a folder that all executors share")
-        there = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there.rstrip("/")
-
-
-def written(rows: DataFrame) -> DataFrame:
-    """``rows`` written once to the shared folder and read from there."""
-    path = f"{shared_folder(rows.sparkSession)}/rows-{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def latest_runs(runs: DataFrame) -> DataFrame:
     """The latest state of the latest run of each corpus, by started_at, then sequence."""
     from pyspark.sql import Window
@@ -282,3 +264,6 @@ def upsert(rows: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
 def delete(rows: DataFrame, keys: DataFrame, key: str = "chunk_id") -> DataFrame:
     """``rows`` without the keys; keys that aren't there do nothing."""
     return rows.join(keys.select(key), key, "left_anti")
+
+
+__all__ = ["SCHEMA_VERSION", "TABLES", "Files", "SnapshotStore", "delete", "latest_runs", "now_iso", "shared_folder", "upsert", "written"]
