@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 FLUSH_BYTES = 16 << 20
+#: Bytes of an Arrow batch between the JVM and Python, which both hold several of.
+ARROW_BYTES = 8 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def partitions(spark: SparkSession) -> int:
@@ -23,6 +26,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def lean(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, as rows say little of texts' sizes; a bound that the session sets stays."""
+    if _ARROW not in spark.conf.getAll:
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; where it is unset, a temporary one in local mode only."""
     there = spark.conf.get("spark.checkpoint.dir", None)

@@ -22,7 +22,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import named, partitions, plain
+from tessera.llm import textkit as tk
+from tessera.llm.blocks import lean, named, partitions, plain
 
 LEAD = 24
 NO_ID = np.iinfo(np.int64).max
@@ -141,10 +142,11 @@ def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, kept_doc_id) for every row whose text another row with a lower id has too."""
+    lean(docs.sparkSession)
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    split = rows.mapInArrow(_local, "digit_len long, digit_lead binary, text string, ids array<long>")
-    return split.repartition(n, "digit_len", "digit_lead").mapInArrow(_final, "doc_id long, kept_doc_id long")
+    split = rows.mapInArrow(tk.trimmed(_local), "digit_len long, digit_lead binary, text string, ids array<long>")
+    return split.repartition(n, "digit_len", "digit_lead").mapInArrow(tk.trimmed(_final), "doc_id long, kept_doc_id long")
 
 
 def _first_rows(batches: Iterator[pa.RecordBatch], lead: bool) -> Iterator[pa.RecordBatch]:
@@ -178,12 +180,13 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     The rows travel with their other columns, so nothing is joined back, and of rows that
     repeat doc_id and text exactly one stays.  Rows with a null text all stay.
     """
+    lean(docs.sparkSession)
     n = partitions(docs.sparkSession)
     flat, at = plain(docs)
     rows = flat.select(F.col(at["doc_id"]).cast("long").alias("id"), F.col(at["text"]).cast("string").alias("text"), F.struct(*[c for c in flat.columns if c != at["text"]]).alias("rest"))
     schema = f"id long, text string, rest {_ddl(rows)}"
-    split = rows.mapInArrow(lambda it: _first_rows(it, True), schema + ", digit_len long, digit_lead binary")
-    first = split.repartition(n, "digit_len", "digit_lead").select("id", "text", "rest").mapInArrow(_first_of_all, schema)
+    split = rows.mapInArrow(tk.trimmed(_first_rows, True), schema + ", digit_len long, digit_lead binary")
+    first = split.repartition(n, "digit_len", "digit_lead").select("id", "text", "rest").mapInArrow(tk.trimmed(_first_of_all), schema)
     return named(first.select(*[F.col("text").cast(flat.schema[c].dataType).alias(c) if c == at["text"] else F.col("rest").getField(c).alias(c) for c in flat.columns]), docs)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
-from tessera.llm.blocks import Scatter, cut, gather, partitions, runs
+from tessera.llm.blocks import Scatter, cut, gather, lean, partitions, runs
 from tessera.llm.components import components
 
 SHINGLE = 3
@@ -205,7 +205,6 @@ def _band_edges(batches: Iterator[pa.RecordBatch], most: int, sure: int, tile: i
     if ready:
         a, b = _edge_rows([x for x, _ in ready], [y for _, y in ready])
         yield pa.RecordBatch.from_arrays([a, b, pa.array(np.ones(len(a), bool))], names=["a", "b", "sure"])
-    tk.release()
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.RecordBatch]:
@@ -261,14 +260,15 @@ def near_duplicate_edges(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     The sketches settle clear pairs; the texts of the others are compared themselves.
     """
     spark = docs.sparkSession
+    lean(spark)
     n, most, sure = partitions(spark), most_bits(threshold - MARGIN), most_bits(min(threshold + SURE, 1.0))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text").cast("string")).alias("text"))
-    signs = rows.mapInArrow(lambda it: _signatures(it, n), "bucket int, sign binary, node binary, sketch binary, bands binary")
-    bands = signs.repartition(n, "bucket").mapInArrow(lambda it: _equal_samples(it, n), "bucket int, key binary, node binary, sketch binary")
+    signs = rows.mapInArrow(tk.trimmed(_signatures, n), "bucket int, sign binary, node binary, sketch binary, bands binary")
+    bands = signs.repartition(n, "bucket").mapInArrow(tk.trimmed(_equal_samples, n), "bucket int, key binary, node binary, sketch binary")
     tile = TILE
     met, edge = bands.repartition(n, "bucket"), "a long, b long, sure boolean"
-    small = met.mapInArrow(lambda it: _band_edges(it, most, sure, tile), edge)
-    large = met.mapInArrow(lambda it: _tiles(it, tile), "tile long, node binary, sketch binary").repartition(n, "tile").mapInArrow(lambda it: _tile_edges(it, most, sure), edge)
+    small = met.mapInArrow(tk.trimmed(_band_edges, most, sure, tile), edge)
+    large = met.mapInArrow(tk.trimmed(_tiles, tile), "tile long, node binary, sketch binary").repartition(n, "tile").mapInArrow(tk.trimmed(_tile_edges, most, sure), edge)
     found = cut(small.unionByName(large))
     joined = cut(components(found.filter("sure").select("a", "b")))
     pairs = found.filter("NOT sure").select("a", "b").distinct()

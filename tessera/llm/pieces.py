@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as tk
+from tessera.llm.blocks import lean
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -467,8 +468,9 @@ def encoded(docs: DataFrame, model: PieceModel) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(~valid))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists, pa.array(np.diff(before), mask=~valid), pa.array(exact, mask=~valid)], names=["doc_id", "ids", "n_ids", "exact"])
 
+    lean(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, exact boolean")
+    return rows.mapInArrow(tk.trimmed(run), "doc_id long, ids array<int>, n_ids long, exact boolean")
 
 
 def decoded(rows: DataFrame, model: PieceModel) -> DataFrame:

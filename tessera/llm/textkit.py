@@ -8,7 +8,7 @@ not follow the Arrow batch.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +94,16 @@ def release() -> None:
         _TRIM(0)
 
 
+def trimmed(task: Callable[..., Iterator[pa.RecordBatch]], *args: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``task`` over a partition; once it ends, what it needed goes back to the machine."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches, *args)
+        release()
+
+    return run
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words before each row) of the maximal runs of bytes that aren't ASCII white space."""
     if len(data) == 0:
