@@ -16,7 +16,10 @@ Defined results: with a total, quotas follow the weights up to one block by larg
 remainders, a source that has less gives all it has, and the others share the rest by
 their weights; without a total, given weights take the largest quotas that keep them
 exact, and where no weights are given either, every document is drawn, those without a
-source too.  Sources that given weights leave out or give 0, and documents beyond the
+source too: once where its source has most for its weight, and more often elsewhere, so
+that the draws have the weights' shares up to one document by largest remainders, and the
+documents of a source differ by one draw at most.  Every draw of a document is dealt to a
+shard by a permutation and a tree of its own.  Sources that given weights leave out or give 0, and documents beyond the
 quotas, are not drawn; weights of sources without
 documents are left out and the others scaled up; a last block may be short, and is
 drawn like any other; rows with a null doc_id come first in their source; rows that
@@ -78,6 +81,17 @@ def _capped(have: np.ndarray, w: np.ndarray, total: int) -> np.ndarray:
     return out
 
 
+def draw_quotas(counts: Mapping[str, int], weights: Mapping[str, float]) -> tuple[list[str], np.ndarray]:
+    """(sources, documents to draw), the fewest that have the weights' shares and draw every document of the sources."""
+    names = sorted(s for s, w in weights.items() if w > 0 and counts.get(s, 0) > 0)
+    n = np.array([counts[s] for s in names], dtype=np.int64)
+    if not names:
+        return names, n
+    w = np.array([weights[s] for s in names], dtype=np.float64)
+    w = w / w.sum()
+    return names, np.maximum(_apportioned(w, math.floor((n / w).max() + 1e-6)), n)
+
+
 def keyed_place(i: np.ndarray, n: int, key: int) -> np.ndarray:
     """A keyed permutation of 0..n-1 at ``i``: a Feistel network over the next even power of 2, walked until it is inside."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
@@ -149,7 +163,7 @@ class SplittingTree:
         return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=64)
 def _tree(quotas: tuple[int, ...], shards: int, seed: int) -> SplittingTree:
     """A worker keeps the nodes that it has walked from one batch to the next."""
     return SplittingTree(np.array(quotas, np.int64), shards, seed)
@@ -166,14 +180,18 @@ def source_counts(docs: DataFrame) -> dict[str, int]:
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, docs_per_shard: int = DOCS_PER_SHARD, seed: int = SEED, total: int | None = None, spread: bool = False) -> DataFrame:
-    """The drawn rows with __shard and __position, the place within the shard; these get
-    underscores where ``docs`` has columns of these names.
+    """The drawn rows with __shard, __position, the place within the shard, and __shards, the shards of
+    all draws of the row; these get underscores where ``docs`` has columns of these names.
+
+    A row is here once, in the shard of its first draw.  With ``spread`` it is here once a draw.
 
     ``weights`` are target shares by source; without any, the counts to the power 0.7.
     With ``spread`` ranges of shards of about equal size lie in a partition each.
-    ``total`` is the number of documents to draw, up to a block a source; without it and weights, all.
+    ``total`` is the number of documents to draw, up to a block a source; without it and weights, all are
+    drawn, those of sources that have less than their share more often.
     """
     counts = source_counts(docs)
+    again = weights is None and total is None
     if weights is None:
         weights, total = tempered(counts), block * sum(-(-n // block) for n in counts.values()) if total is None else total
     names, have, quotas = block_quotas(counts, weights, block, total)
@@ -188,29 +206,43 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     rows = _ranked(rows, int(sum(counts[s] for s in names)))
 
     sizes, n_blocks, keys, n_shards = quotas.tolist(), have.tolist(), [seed * 1_000_003 + i for i in range(len(names))], shards
+    n_docs = [counts[s] for s in names]
+    n_draws = draw_quotas(counts, weights)[1].tolist() if again else n_docs
 
-    @F.pandas_udf("long")
-    def shard(source: pd.Series, rank: pd.Series) -> pd.Series:
-        s, b = source.to_numpy(np.int64), rank.to_numpy(np.int64) // block
-        place = np.empty(len(s), np.int64)
+    @F.pandas_udf("array<long>")
+    def shards_of(source: pd.Series, rank: pd.Series) -> pd.Series:
+        s, at = source.to_numpy(np.int64), rank.to_numpy(np.int64)
+        times = np.empty(len(s), np.int64)
         for k in np.unique(s):
-            place[s == k] = keyed_place(b[s == k], n_blocks[k], keys[k])
-        inside = place < np.array(sizes)[s]
-        out = np.full(len(s), -1, np.int64)
-        if inside.any():
-            out[inside] = _tree(tuple(sizes), n_shards, seed).shard_of(s[inside], place[inside])
-        return pd.Series(out)
+            whole, rest = divmod(n_draws[k], n_docs[k])
+            times[s == k] = whole + (keyed_place(at[s == k], n_docs[k], -1 - keys[k]) < rest) if rest else whole
+        row, out = [], []
+        for draw in range(int(times.max(initial=0))):
+            todo = np.flatnonzero(times > draw)
+            place = np.empty(len(todo), np.int64)
+            for k in np.unique(s[todo]):
+                mine = s[todo] == k
+                place[mine] = keyed_place(at[todo[mine]] // block, n_blocks[k], keys[k] + draw * len(n_docs))
+            inside = place < np.array(sizes)[s[todo]]
+            row.append(todo[inside])
+            out.append(_tree(tuple(sizes), n_shards, seed + draw * 1_000_003).shard_of(s[row[-1]], place[inside]))
+        row, out = np.concatenate(row or [s[:0]]), np.concatenate(out or [s[:0]])
+        bounds = np.r_[0, np.cumsum(np.bincount(row, minlength=len(s)))]
+        out = out[np.argsort(row, kind="stable")]
+        return pd.Series([out[a:b] for a, b in zip(bounds[:-1], bounds[1:])], dtype=object)
 
     # the optimizer would evaluate a deterministic function both for the filter and for the column
-    dealt = rows.withColumn("shard", shard.asNondeterministic()("source", "rank")).filter("shard >= 0")
+    dealt = rows.withColumn("shards", shards_of.asNondeterministic()("source", "rank")).filter(F.size("shards") > 0)
     if spread:
-        dealt = dealt.repartitionByRange(partitions(docs.sparkSession), "shard")
-    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "source", "rank"), "source", "rank")
-    return named(dealt.withColumn("position", F.row_number().over(order).cast("long") - 1), docs, __shard="shard", __position="position")
+        dealt = dealt.select("*", F.posexplode("shards").alias("draw", "shard")).repartitionByRange(partitions(docs.sparkSession), "shard")
+    else:
+        dealt = dealt.select("*", F.lit(0).alias("draw"), F.col("shards")[0].alias("shard"))
+    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "source", "rank", "draw"), "source", "rank", "draw")
+    return named(dealt.withColumn("position", F.row_number().over(order).cast("long") - 1), docs, __shard="shard", __position="position", __shards="shards")
 
 
 def shuffled(docs: DataFrame, **how: object) -> DataFrame:
-    """The drawn rows in the order of their shards and positions, with the columns of ``docs``.
+    """The drawn rows, once a draw, in the order of their shards and positions, with the columns of ``docs``.
 
     The window that numbers a shard's rows has brought them together and sorted them.
     """

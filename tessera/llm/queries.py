@@ -20,7 +20,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.selectExpr("doc_id", "source", "__shard AS shard", "__position AS position")
+    return mixed.selectExpr("doc_id", "source", "__shard AS shard", "__position AS position", "__shards AS shards")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
