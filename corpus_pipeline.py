@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, exact and near deduplication, mixing, tokens.
 
 Each stage takes what its predecessor kept, written as Parquet and read again, and all
-but the last return the columns of documents.  Nulls, empty texts, ties and empty tables
+but the last return the columns of documents.  Mixing returns a document once a draw, and
+the order that it puts the draws in is a column of the result.  Nulls, empty texts, ties and empty tables
 have the results that the operators' modules define.
 """
 
@@ -30,13 +31,16 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn to the target weights, shard by shard in their shuffled order."""
+    """Documents drawn to the target weights, each once at least, shard by shard in their shuffled order."""
     return mixing.shuffled(docs)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_ids, exact): SentencePiece ids, and whether decoding them gives the text back."""
-    return pieces.encoded(docs, pieces.load())
+    """(doc_id, ids, n_ids, exact, place): SentencePiece ids, whether decoding them gives the text back, and a
+    number that rises in the order of the mix: the file that mixing wrote, which are numbered in the order of
+    the shards, and the row in it.  Spark reads files in the order of their sizes, so the rows' own order is lost."""
+    file, row = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long"), F.col("_metadata.row_index")
+    return pieces.encoded(docs.withColumn("place", F.shiftleft(file, 40) + row), pieces.load(), "place")
 
 
 STAGES = [

@@ -234,18 +234,18 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     # the optimizer would evaluate a deterministic function both for the filter and for the column
     dealt = rows.withColumn("shards", shards_of.asNondeterministic()("source", "rank")).filter(F.size("shards") > 0)
     if spread:
-        dealt = dealt.select("*", F.posexplode("shards").alias("draw", "shard")).repartitionByRange(partitions(docs.sparkSession), "shard")
+        dealt = dealt.select("*", F.posexplode("shards").alias("draw", "shard"))
     else:
         dealt = dealt.select("*", F.lit(0).alias("draw"), F.col("shards")[0].alias("shard"))
-    order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "source", "rank", "draw"), "source", "rank", "draw")
+    dealt, by = dealt.withColumn("key", F.xxhash64(F.lit(seed), "source", "rank", "draw")), ["key", "source", "rank", "draw"]
+    if spread:  # sorted here, as the optimizer leaves out a window whose position nobody reads
+        dealt = dealt.repartitionByRange(partitions(docs.sparkSession), "shard").sortWithinPartitions("shard", *by)
+    order = Window.partitionBy("shard").orderBy(*by)
     return named(dealt.withColumn("position", F.row_number().over(order).cast("long") - 1), docs, __shard="shard", __position="position", __shards="shards")
 
 
 def shuffled(docs: DataFrame, **how: object) -> DataFrame:
-    """The drawn rows, once a draw, in the order of their shards and positions, with the columns of ``docs``.
-
-    The window that numbers a shard's rows has brought them together and sorted them.
-    """
+    """The drawn rows, once a draw, in the order of their shards and positions, with the columns of ``docs``."""
     mixed = mix(docs, spread=True, **how)
     return mixed.drop(*mixed.columns[len(docs.columns) :])
 

@@ -447,8 +447,8 @@ def decode(model: PieceModel, ids: np.ndarray, before: np.ndarray) -> tuple[np.n
     return np.delete(data, offsets[lead]), offsets - np.r_[0, np.cumsum(drop)]
 
 
-def encoded(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """(doc_id, ids, n_ids, exact): the ids of each text, and whether decoding them gave the text back."""
+def encoded(docs: DataFrame, model: PieceModel, *more: str) -> DataFrame:
+    """(doc_id, ids, n_ids, exact): the ids of each text, and whether decoding them gave the text back; then the columns ``more`` of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model)
@@ -466,11 +466,12 @@ def encoded(docs: DataFrame, model: PieceModel) -> DataFrame:
                 exact = np.full(j - i, True) if same else np.array([back[ends[k] : ends[k + 1]].tobytes() == data[offsets[k] : offsets[k + 1]].tobytes() for k in range(j - i)])
                 valid = raw.slice(i, j - i).is_valid().to_numpy(zero_copy_only=False)
                 lists = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array(~valid))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists, pa.array(np.diff(before), mask=~valid), pa.array(exact, mask=~valid)], names=["doc_id", "ids", "n_ids", "exact"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists, pa.array(np.diff(before), mask=~valid), pa.array(exact, mask=~valid), *[batch.column(c).slice(i, j - i) for c in more]], names=["doc_id", "ids", "n_ids", "exact", *more])
 
     lean(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tk.trimmed(run), "doc_id long, ids array<int>, n_ids long, exact boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    kept = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)
+    return rows.mapInArrow(tk.trimmed(run), f"doc_id long, ids array<int>, n_ids long, exact boolean{kept}")
 
 
 def decoded(rows: DataFrame, model: PieceModel) -> DataFrame:
