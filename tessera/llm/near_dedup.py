@@ -48,6 +48,10 @@ THRESHOLD = 0.45
 MARGIN = 0.1
 SURE = 0.15
 TILE = 2048
+#: Bits of the map of hashed ids, a document asked for and at most.
+MAP_BITS = 16
+MOST_BITS = 1 << 28
+_PART = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -254,6 +258,34 @@ def exact_similarity(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+def _id_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, bits) of the parts of the map that lie in a partition."""
+    bit = np.unique(np.concatenate([np.zeros(0, np.int64)] + [b.column("bit").to_numpy() for b in batches]))
+    for s, c in zip(*runs(bit // _PART)):
+        flags = np.zeros(_PART, bool)
+        flags[bit[s : s + c] % _PART] = True
+        yield pa.RecordBatch.from_arrays([pa.array([bit[s] // _PART], pa.int64()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+
+def perhaps_among(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows whose ``name`` is among those of ``ids``, and a few others: a map of hashed ids goes to all
+    tasks, so that a join that decides moves no rows that have no partner."""
+    size = min(MOST_BITS, max(_PART, 1 << (MAP_BITS * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64(name), F.lit(size))
+    parts = ids.select(place.alias("bit")).repartition(partitions(ids.sparkSession), F.floor(F.col("bit") / _PART)).mapInArrow(_id_bits, "part long, bits binary")
+    bits = np.zeros(size // 8, np.uint8)
+    for part, found in parts.toLocalIterator():
+        bits[part * _PART // 8 : (part + 1) * _PART // 8] = np.frombuffer(found, np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def there(at: pd.Series) -> pd.Series:
+        x = at.to_numpy(np.int64)
+        return pd.Series((shared.value[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool))
+
+    return rows.filter(there(place))
+
+
 def near_duplicate_edges(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b) of doc_ids: pairs of each band bucket that join its copies.
 
@@ -276,7 +308,7 @@ def near_duplicate_edges(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
         pairs = pairs.join(joined.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
     doubtful = cut(pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
     asked = doubtful.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut(rows.join(asked, "doc_id", "left_semi"))
+    texts = cut(perhaps_among(rows, asked, "doc_id").join(asked, "doc_id", "left_semi"))
     both = doubtful.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     near = both.filter("x IS NOT NULL AND y IS NOT NULL").filter(exact_similarity(F.col("x"), F.col("y")) >= threshold).select("a", "b")
     return found.filter("sure").select("a", "b").unionByName(near)
