@@ -131,7 +131,8 @@ class SnapshotStore:
     def _alive(self, name: str, snapshot: str | None) -> DataFrame:
         rows = self._read(name, self.segments(snapshot) if snapshot else [])
         if snapshot and self.files.exists(f"{self.root}/{snapshot}/dead"):
-            rows = rows.join(self.table("dead", snapshot), ["segment", "revision_id"], "left_anti")
+            # a join by names puts these first, and only snapshots with dead rows have it
+            rows = rows.join(self.table("dead", snapshot), ["segment", "revision_id"], "left_anti").select(*rows.columns)
         return rows
 
     def begin(self) -> str:
