@@ -31,13 +31,16 @@ def content_words(text: Column) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(every)
 
 
-def boost_words(text: Column) -> Column:
+def boost_words(text: Column, ascii_borders: bool = False) -> Column:
     """Error codes, commands and camel-case names, each once, in that order of kinds.
 
-    Word borders and classes count letters of every script as the Unicode flag asks.
+    Word borders count letters of every script; with ``ascii_borders`` those of ASCII only,
+    as SQL engines' do, so that a name also ends where another script's letter follows.
     """
     t = F.coalesce(text, F.lit(""))
-    found = [F.regexp_extract_all(t, F.lit(f"(?U)({p})"), F.lit(1)) for p in (CODE, COMMAND, CAMEL)]
+    # each pattern begins and ends with a word character; Java's own \b isn't of ASCII in all versions
+    ascii_only = [re.sub(r"^\\b", "(?<![A-Za-z0-9_])", re.sub(r"\\b(?=$|\|)", "(?![A-Za-z0-9_])", p)) for p in (CODE, COMMAND, CAMEL)]
+    found = [F.regexp_extract_all(t, F.lit(f"({p})"), F.lit(1)) for p in (ascii_only if ascii_borders else [f"(?U){p}" for p in (CODE, COMMAND, CAMEL)])]
     return F.array_distinct(F.concat(*found))
 
 

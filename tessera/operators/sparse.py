@@ -89,14 +89,14 @@ def statistics(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("total"))
 
 
-def phrases(queries: DataFrame, stemmed: bool = True) -> DataFrame:
+def phrases(queries: DataFrame, stemmed: bool = True, ascii_borders: bool = False) -> DataFrame:
     """(query_id, corpus_id, top_k, branch, phrase, terms): the phrases of each query's branches.
 
     Branch 0 holds the content words; each boosted name is a branch.  Words without an
     index token are dropped.
     """
     base = F.transform(T.content_words(F.col("text")), lambda w, i: F.struct(F.lit(0).alias("branch"), i.alias("phrase"), w.alias("word")))
-    boost = F.transform(T.boost_words(F.col("text")), lambda w, i: F.struct((i + 1).alias("branch"), F.lit(0).alias("phrase"), w.alias("word")))
+    boost = F.transform(T.boost_words(F.col("text"), ascii_borders), lambda w, i: F.struct((i + 1).alias("branch"), F.lit(0).alias("phrase"), w.alias("word")))
     flat = queries.select("query_id", "corpus_id", "top_k", F.explode(F.concat(base, boost)).alias("p"))
     flat = flat.select("query_id", "corpus_id", "top_k", "p.branch", "p.phrase", tokens(F.col("p.word"), stemmed).alias("terms"))
     return flat.filter(F.size("terms") > 0)
@@ -151,14 +151,14 @@ def top(rows: DataFrame, score: str, default_k: int = DEFAULT_K, key: str = "chu
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.coalesce("top_k", F.lit(default_k)))
 
 
-def retrieve(queries: DataFrame, posts: DataFrame, stats: DataFrame, weights: tuple[float, ...] = WEIGHTS, stemmed: bool = True, sources: list[str] | None = None, chunk_sources: DataFrame | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, posts: DataFrame, stats: DataFrame, weights: tuple[float, ...] = WEIGHTS, stemmed: bool = True, sources: list[str] | None = None, chunk_sources: DataFrame | None = None, ascii_borders: bool = False) -> DataFrame:
     """(query_id, chunk_id, rank, sparse_score) for queries (query_id, text, corpus_id, top_k).
 
     A query's corpus restricts its hits, not the statistics.  ``sources`` filters the top
     hits after ranking, by ``chunk_sources`` (chunk_id, source_id).
     """
     # sums differ in their last digits by the order of their terms, which must not break ties
-    best = top(scores(phrases(queries, stemmed), posts, stats, weights), "score", digits=9, first="strict")
+    best = top(scores(phrases(queries, stemmed, ascii_borders), posts, stats, weights), "score", digits=9, first="strict")
     # a query with a strict hit has no others
     any_strict = F.max("strict").over(Window.partitionBy("query_id"))
     hits = best.withColumn("any", any_strict).filter("strict OR NOT any").select("query_id", "chunk_id", "rank", F.col("score").alias("sparse_score"))

@@ -28,6 +28,8 @@ class SearchSettings:
     snippet_chars: int = 400
     overfetch: int = 3
     stemmed: bool = True
+    #: where exact names end in a query's text, see ``boost_words``
+    ascii_borders: bool = False
 
 
 @dataclass(frozen=True)
@@ -79,7 +81,7 @@ class SearchPipeline:
         return SearchResult(hits, evidence, context.budget_summary(hits, packed, s.token_budget, s.overhead))
 
     def _legs(self, asked: DataFrame, chunks: DataFrame, s: SearchSettings, filters: ranking.FilterSpec | None) -> tuple[DataFrame, DataFrame]:
-        found = sparse.retrieve(asked.select("query_id", F.col("sparse_text").alias("text"), "corpus_id", "top_k"), self._table("postings"), self._table("stats"), stemmed=s.stemmed)
+        found = sparse.retrieve(asked.select("query_id", F.col("sparse_text").alias("text"), "corpus_id", "top_k"), self._table("postings"), self._table("stats"), stemmed=s.stemmed, ascii_borders=s.ascii_borders)
         if self.embedder is None:
             near = found.select("query_id", "chunk_id", "rank", F.col("sparse_score").alias("dense_score")).limit(0)
         else:

@@ -378,7 +378,8 @@ def _bm25(spark: SparkSession, d: str, stemmed: bool) -> DataFrame:
     rows = _t(spark, d, "documents").filter("text IS NOT NULL").select(F.lit("c").alias("corpus_id"), F.col("doc_id").cast("string").alias("chunk_id"), "text", F.concat_ws(" ", "source", "lang").alias("heading"), F.lit("").alias("code"))
     asked = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text", F.lit(None).cast("string").alias("corpus_id"), F.lit(None).cast("int").alias("top_k"))
     posts = snapshot.written(sparse.postings(rows, stemmed))
-    return sparse.retrieve(asked, posts, sparse.statistics(rows), stemmed=stemmed)
+    # the SQL of the query without stems has borders of ASCII
+    return sparse.retrieve(asked, posts, sparse.statistics(rows), stemmed=stemmed, ascii_borders=not stemmed)
 
 
 _CODE, _COMMAND, _CAMEL = (p.replace("'", "''") for p in (T.CODE, T.COMMAND, T.CAMEL))

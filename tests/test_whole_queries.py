@@ -2,11 +2,14 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import dense
-from tessera.queries import QUERIES
+from tessera.queries import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("kind", ["cosine", "dot", "euclidean"])
@@ -118,3 +121,19 @@ def test_every_turn_is_a_hit(spark, tmp_path):
     assert sorted((r["query_id"], r["chunk_id"], r["role"]) for r in packed) == sorted((str(c), f"{c}/{t}", "hit") for c, t, *_ in rows)
     cited = QUERIES["snippets"](spark, str(tmp_path)).collect()
     assert sorted(r["chunk_id"] for r in cited) == sorted(f"{c}/{t}" for c, t, *_ in rows)
+
+
+def test_names_end_where_their_sql_says(spark, tmp_path):
+    """A name before a letter of another script: none by Unicode's borders, one by ASCII's, which the SQL has."""
+    asked = spark.createDataFrame([("SS\u00f6 t", ["SS"]), ("x ERR_A\u00e9 \u00e9RunIt RunIt_ run-it\u00df /us/r", ["ERR_A", "run-it", "/us/r", "RunIt"]), (None, [])], "text string, want array<string>")
+    assert all(r[0] == r[1] for r in asked.select(T.boost_words(F.col("text"), True), "want").collect())
+    assert [r[0] for r in asked.select(T.boost_words(F.col("text"))).collect()] == [[], ["/us/r"], []]
+    rows = [(i, t, "a", "en") for i, t in enumerate(["alpha bravo carbon", "ss alpha", "SS bravo", "ss\u00f6 carbon", "delta", "ember", "falcon"])]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "SS\u00f6 alpha bravo"), (2, "alpha bravo")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = sorted(db.execute(ORACLES["bm25_topk_ascii"]).fetchall())
+    assert {c for q, c, *_ in want if q == "1"} == {"1", "2"}
+    assert sorted(map(tuple, QUERIES["bm25_topk_ascii"](spark, str(tmp_path)).collect())) == want
