@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import ids
 from tessera.functions import text as T
+from tessera.operators.shared import lean
 
 EVIDENCE = (
     "evidence_id string, query_id string, chunk_id string, citation_label string, role string, context_of string, position int, token_count int, "
@@ -54,18 +59,32 @@ def prefix_budget(rows: DataFrame, budget: Column | int, group: str = "query_id"
 def skip_budget(rows: DataFrame, budget: int, group: str = "query_id", order: str = "position", tokens: str = "token_count", key: str = "chunk_id") -> DataFrame:
     """(group, key, order, fits): packing that skips a row over what is left and goes on.
 
-    A fold over each group's rows; groups are one query's hits.
+    A task goes through its groups row by row, sorted, and holds no more than a batch.
     """
-    items = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("k"), F.col(tokens).cast("long").alias("t")))).alias("items"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("fits"))
-
-    def step(acc: Column, x: Column) -> Column:
-        ok = acc["used"] + x["t"] <= F.lit(budget)
-        return F.struct((acc["used"] + F.when(ok, x["t"]).otherwise(F.lit(0))).cast("long").alias("used"), F.concat(acc["fits"], F.array(ok)).alias("fits"))
-
-    packed = items.withColumn("fits", F.aggregate("items", start, step, lambda acc: acc["fits"]))
-    flat = packed.select(group, F.explode(F.arrays_zip("items", "fits")).alias("x"))
-    return flat.select(group, F.col("x.items.k").alias(key), F.col("x.items.o").alias(order), F.col("x.fits").alias("fits"))
+    keys = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(order).alias("o"), F.col(tokens).cast("long").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used, last, begun = 0, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # nulls are a group, and so are values that aren't numbers
+            coded = pc.dictionary_encode(batch.column("g"), null_encoding="encode")
+            code, values, fits = coded.indices.to_pylist(), coded.dictionary.to_pylist(), []
+            first = values[code[0]]
+            before = code[0] if begun and (first == last or (first != first and last != last)) else -1
+            for g, t in zip(code, batch.column("t").to_pylist()):
+                if g != before:
+                    used, before = 0, g
+                ok = None if t is None else used + t <= budget
+                used += t if ok else 0
+                fits.append(ok)
+            last, begun = values[before], True
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in "gko"], pa.array(fits, pa.bool_())], names=[*"gko", "fits"])
+
+    kinds = ", ".join(f"{c} {keys.schema[c].dataType.simpleString()}" for c in "gko")
+    flat = keys.repartition("g").sortWithinPartitions("g", "o", "k", "t").mapInArrow(lean(keys, run), f"{kinds}, fits boolean")
+    return flat.select(F.col("g").alias(group), F.col("k").alias(key), F.col("o").alias(order), "fits")
 
 
 def pack(hits: DataFrame, around: DataFrame, budget: int = 4096, overhead: int = 0, per_hit: int = 2) -> DataFrame:
