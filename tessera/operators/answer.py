@@ -77,7 +77,8 @@ def answer(queries: DataFrame, evidence: DataFrame, hits: DataFrame, generate: C
     Only hits are shown to the generator.  A query that abstains beforehand makes no call.
     With ``strict`` a citation of unknown evidence raises; else it is left out.
     """
-    shown = evidence.filter("role = 'hit'")
+    # written once, as it is read for the prompts, the labels and the citations
+    shown = written(evidence.filter("role = 'hit'"))
     early = pre_abstain(queries, hits, threshold)
     asked = queries.join(early, "query_id").join(context_block(shown), "query_id", "left")
     message = asked.select("query_id", "abstain", user_message(F.col("text"), F.col("context")).alias("message"))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -101,36 +101,55 @@ def pack(hits: DataFrame, around: DataFrame, budget: int = 4096, overhead: int =
     lists = around.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor_id", "token_count"))).alias("around"))
     rows = base.join(lists, ["query_id", "chunk_id"], "left")
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("rank", kind="stable")
+    def one(query: str, listed: list[dict]) -> list[tuple]:
         used, out, seen = 0, [], set()
 
-        def add(chunk: str, role: str, of: str | None, tokens: int, row: object) -> None:
+        def add(chunk: str, role: str, of: str | None, tokens: int, row: dict) -> None:
             nonlocal used
             used += tokens
             seen.add(chunk)
             n = len(out) + 1
-            mine = ids.digest_text("evidence", row.query_id, chunk)
-            marks = [getattr(row, c) if of is None else None for c in scores]
-            out.append([mine, row.query_id, chunk, f"S{n}", role, of, n, tokens, *marks])
+            mine = ids.digest_text("evidence", query, chunk)
+            marks = [row[c] if of is None else None for c in scores]
+            out.append((mine, query, chunk, f"S{n}", role, of, n, tokens, *marks))
 
         packed = []
-        for row in t.itertuples():
-            if used + row.token_count <= room and row.chunk_id not in seen:
-                add(row.chunk_id, "hit", None, int(row.token_count), row)
+        for row in listed:
+            if row["token_count"] is not None and used + row["token_count"] <= room and row["chunk_id"] not in seen:
+                add(row["chunk_id"], "hit", None, int(row["token_count"]), row)
                 packed.append((row, out[-1][0]))
         for row, evidence in packed:
             taken = 0
-            for x in row.around if row.around is not None else []:
+            for x in row["around"] or []:
                 if taken >= per_hit:
                     break
                 if x["neighbor_id"] in seen or used + x["token_count"] > room:
                     continue
                 add(x["neighbor_id"], "context", evidence, int(x["token_count"]), row)
                 taken += 1
-        return pd.DataFrame(out, columns=[c.split()[0] for c in EVIDENCE.split(", ")])
+        return out
 
-    return rows.groupBy("query_id").applyInPandas(run, EVIDENCE)
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    columns = [c.split() for c in EVIDENCE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def made(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+            out = [x for query, own in groupby(rows, lambda r: r["query_id"]) for x in one(query, list(own))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(zip(*out), columns)], names=[n for n, _ in columns])
+
+        for batch in batches:
+            held += batch.to_pylist()
+            # the last query may go on in the next batch
+            at = next((i for i in range(len(held) - 1, 0, -1) if held[i - 1]["query_id"] != held[-1]["query_id"]), 0)
+            yield from made(held[:at])
+            held = held[at:]
+        yield from made(held)
+
+    # queries are many and small: a task goes through its own, a call for each would cost more than the packing
+    return rows.repartition("query_id").sortWithinPartitions("query_id", "rank", "chunk_id").mapInArrow(lean(rows, run), EVIDENCE)
 
 
 def budget_summary(hits: DataFrame, evidence: DataFrame, budget: int, overhead: int = 0) -> DataFrame:
