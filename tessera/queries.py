@@ -189,12 +189,7 @@ def code_fields(spark: SparkSession, d: str) -> DataFrame:
     SELECT r.doc_id, ordinal, array_to_string(w[a + 1 : b], ' ') AS text FROM r JOIN p ON p.doc_id = r.doc_id""")
 def word_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of 512 tokens with an overlap of 64, of each document's words on one line."""
-
-    @F.pandas_udf("array<string>")
-    def cut(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda t: chunk.split_words(t or "", chunk.MAX_TOKENS, chunk.OVERLAP))
-
-    return _t(spark, d, "documents").select("doc_id", F.posexplode(cut("text")).alias("ordinal", "text"))
+    return chunk.pieces(_t(spark, d, "documents").select("doc_id", "text"), "text", lambda t: chunk.split_words(t, chunk.MAX_TOKENS, chunk.OVERLAP))
 
 
 @query()
