@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import IngestionError
 from tessera.functions.text import token_count
+from tessera.operators.shared import lean
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,7 @@ def described(chunks: DataFrame, enricher: Enricher) -> DataFrame:
                 part = batch.iloc[i : i + enricher.batch_size]
                 yield pd.DataFrame({"chunk_id": part["chunk_id"], "enrichment": ask(part["text"].fillna("").tolist())})
 
-    return chunks.select("chunk_id", "text").mapInPandas(run, "chunk_id string, enrichment string")
+    return chunks.select("chunk_id", "text").mapInPandas(lean(chunks, run), "chunk_id string, enrichment string")
 
 
 def enrich(chunks: DataFrame, enricher: Enricher, cache: DataFrame | None = None) -> DataFrame:
