@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import EmbeddingError, RetrievalError
+from tessera.operators.shared import lean
 from tessera.operators.sparse import DEFAULT_K, top
 
 SIMILARITIES = ("cosine", "dot", "euclidean")
@@ -107,7 +108,7 @@ def top_k(queries: DataFrame, embeddings: DataFrame, kind: str = "cosine", k: in
             for batch in batches:
                 yield from _best(few, batch, kind, digits)
 
-        found = points.mapInPandas(score, out)
+        found = points.mapInPandas(lean(points, score), out)
     else:
         across, down = (max(1, -(-t.count() // GROUP)) for t in (asked, points))
         left = asked.withColumn("across", F.pmod(F.xxhash64("query_id"), F.lit(across)).cast("int")).withColumn("down", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
@@ -197,16 +198,21 @@ def embed(chunks: DataFrame, embedder: object, cache: DataFrame | None = None, o
 
     Chunks in ``cache`` (chunk_id, vector) keep their vector, so the embedder sees new ones only.
     """
+    # whole batches of the embedder, and few: vectors may be longer than texts
+    size = max(1, int(getattr(embedder, "batch_size", 32)))
+    step = size * max(1, 1024 // size)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            vectors = embed_with_retries(embedder, batch["text"].fillna("").tolist())
-            if on_batch is not None:
-                on_batch(len(batch))
-            yield pd.DataFrame({"chunk_id": batch["chunk_id"], "vector": vectors})
+            for i in range(0, len(batch), step):
+                part = batch.iloc[i : i + step]
+                vectors = embed_with_retries(embedder, part["text"].fillna("").tolist())
+                if on_batch is not None:
+                    on_batch(len(part))
+                yield pd.DataFrame({"chunk_id": part["chunk_id"], "vector": [np.asarray(v, np.float32) for v in vectors]})
 
     new = chunks if cache is None else chunks.join(cache.select("chunk_id"), "chunk_id", "left_anti")
-    made = new.select("chunk_id", "text").mapInPandas(run, "chunk_id string, vector array<float>")
+    made = new.select("chunk_id", "text").mapInPandas(lean(new, run), "chunk_id string, vector array<float>")
     if cache is not None:
         made = made.unionByName(cache.select("chunk_id", "vector").join(chunks.select("chunk_id"), "chunk_id", "left_semi"))
     keys = chunks.select("chunk_id", "corpus_id", "revision_id")
