@@ -132,10 +132,10 @@ def code_lines(text: str) -> str:
 
 
 def code_content(text: Column) -> Column:
-    """Code of a chunk for its own index column; texts without a fence never reach Python."""
+    """Code of a chunk for its own index column; texts without a fence reach Python as nulls."""
 
     @F.pandas_udf("string")
     def run(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: code_lines(x) if x and ("```" in x or "~~~" in x) else "")
+        return t.map(lambda x: code_lines(x) if x else "")
 
-    return run(text)
+    return run(F.when(F.contains(text, F.lit("```")) | F.contains(text, F.lit("~~~")), text))
