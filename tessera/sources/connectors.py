@@ -13,14 +13,20 @@ from typing import Protocol, runtime_checkable
 from urllib.parse import quote, unquote, urlparse
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.errors import IngestionError
 from tessera.functions import media
+from tessera.operators.shared import lean
 
 PER_TASK = 64
+#: Tasks that fetch files, for each core; with more files a task has more of them.
+TASKS_PER_CORE = 16
+#: Characters of files that a worker hands on at once.
+OUT_CHARS = 2 << 20
 RAW = "uri string, content string, media_type string, external_url string, error string"
 
 
@@ -59,10 +65,14 @@ class FilesystemConnector:
     def __init__(self, root: str, patterns: tuple[str, ...] = ("**/*",), base_url: str | None = None):
         self.root, self.patterns, self.base_url = canonical_path(root), tuple(patterns), base_url
 
-    def list_sources(self) -> list[str]:
+    def _paths(self) -> set[str]:
+        """The files as they are found; links aren't followed to what they stand for."""
         if not Path(self.root).is_dir():
             raise IngestionError(f"no such folder: {self.root}")
-        return sorted({file_uri(p) for pattern in self.patterns for p in Path(self.root).glob(pattern) if p.is_file()})
+        return {str(p) for pattern in self.patterns for p in Path(self.root).glob(pattern) if p.is_file()}
+
+    def list_sources(self) -> list[str]:
+        return sorted({file_uri(p) for p in self._paths()})
 
     def external_url(self, uri: str) -> str | None:
         if self.base_url is None:
@@ -72,19 +82,31 @@ class FilesystemConnector:
         return self.base_url.rstrip("/") + "/" + quote(path.relative_to(self.root).as_posix() if inside else path.name)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        uris = self.list_sources()
-        known = spark.createDataFrame([(u, uri_path(u), self.external_url(u)) for u in uris], "uri string, path string, external_url string")
-        typed = known.withColumn("media_type", media.media_type(F.col("uri")))
-        text = typed.filter(media.is_text(F.col("media_type")))
-        other = typed.filter(~media.is_text(F.col("media_type"))).select("uri", F.lit(None).cast("string").alias("content"), "media_type", "external_url", F.concat(F.lit("not a text type: "), "media_type").alias("error"))
+        found = sorted(self._paths())
+        tasks = max(1, min(-(-len(found) // PER_TASK), TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+        paths = spark.createDataFrame(pa.table({"path": pa.array(found, pa.string())})).repartition(tasks)
 
-        def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                found = [_text_of(path) for path in batch.pop("path")]
-                yield batch.assign(content=[c for c, _ in found], error=[e for _, e in found])
+                uris = [file_uri(p) for p in batch["path"]]
+                yield pd.DataFrame({"uri": uris, "path": [uri_path(u) for u in uris], "external_url": [self.external_url(u) for u in uris]})
 
-        read = text.repartition(max(1, -(-len(uris) // PER_TASK))).mapInPandas(fetch, "uri string, external_url string, media_type string, content string, error string")
-        return read.select("uri", "content", "media_type", "external_url", "error").unionByName(other)
+        # links to one file are one source
+        known = paths.mapInPandas(lean(paths, name), "uri string, path string, external_url string").dropDuplicates(["uri"])
+        typed = known.withColumn("media_type", media.media_type(F.col("uri"))).withColumn("error", F.when(~media.is_text(F.col("media_type")), F.concat(F.lit("not a text type: "), "media_type")))
+
+        def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                names, begun, got, chars = batch[["uri", "external_url", "media_type"]], 0, [], 0
+                for path, error in zip(batch["path"], batch["error"]):
+                    got.append((None, error) if error is not None else _text_of(path))
+                    chars += len(got[-1][0] or "")
+                    if chars > OUT_CHARS or begun + len(got) == len(batch):
+                        yield names.iloc[begun : begun + len(got)].assign(content=[c for c, _ in got], error=[e for _, e in got])
+                        begun, got, chars = begun + len(got), [], 0
+
+        read = typed.repartition(tasks).mapInPandas(lean(typed, fetch), "uri string, external_url string, media_type string, content string, error string")
+        return read.select("uri", "content", "media_type", "external_url", "error")
 
 
 def _text_of(path: str) -> tuple[str | None, str | None]:
