@@ -26,17 +26,18 @@ def link_neighbors(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("prev_chunk_id", F.lag("chunk_id").over(order)).withColumn("next_chunk_id", F.lead("chunk_id").over(order))
 
 
-def neighbors(hits: DataFrame, chunks: DataFrame, hops: int = 1) -> DataFrame:
+def neighbors(hits: DataFrame, chunks: DataFrame, hops: int = 1, near: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """(query_id, chunk_id, neighbor_id, distance) up to ``hops`` links away; a missing chunk ends a walk.
 
     Distances are negative for predecessors.  Each hop is one equi-join on chunk_id.
+    ``near`` is broadcast where hits are few.
     """
     links = chunks.select("chunk_id", "prev_chunk_id", "next_chunk_id")
     out = None
     for column, sign in (("prev_chunk_id", -1), ("next_chunk_id", 1)):
         at = hits.select("query_id", "chunk_id", F.col("chunk_id").alias("here"))
         for hop in range(1, hops + 1):
-            step = at.join(links.select(F.col("chunk_id").alias("here"), F.col(column).alias("there")), "here").filter("there IS NOT NULL")
+            step = near(at).join(links.select(F.col("chunk_id").alias("here"), F.col(column).alias("there")), "here").filter("there IS NOT NULL")
             step = step.join(links.select(F.col("chunk_id").alias("there")), "there", "left_semi")
             at = step.select("query_id", "chunk_id", F.col("there").alias("here"))
             found = at.select("query_id", "chunk_id", F.col("here").alias("neighbor_id"), F.lit(sign * hop).alias("distance"))

@@ -13,6 +13,9 @@ from tessera.operators import context, dense, ranking, sparse
 from tessera.plans.snapshot import SnapshotStore, written
 from tessera.plans.sync import ensure_index
 
+#: Rows of hits and of evidence that travel to the chunks; of more, both are shuffled.
+FEW = 50_000
+
 
 @dataclass(frozen=True)
 class SearchSettings:
@@ -47,6 +50,12 @@ def prepare(queries: DataFrame, rewrite_sparse: Callable | None = None, rewrite_
     return rows.withColumn("sparse_text", rewrite_sparse(F.col("text")) if rewrite_sparse else F.col("text")).withColumn("dense_text", rewrite_dense(F.col("text")) if rewrite_dense else F.col("text"))
 
 
+def _once(rows: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``rows`` made once, and how they meet the chunks."""
+    rows = written(rows)
+    return rows, F.broadcast if rows.count() <= FEW else (lambda r: r)
+
+
 class SearchPipeline:
     """Search over the snapshot that is live when the pipeline is made."""
 
@@ -67,17 +76,17 @@ class SearchPipeline:
         wide = asked.withColumn("top_k", wanted * more)
         chunks = self._table("chunks")
         legs = self._legs(wide, chunks, s, filters)
-        hits = ranking.rrf(*legs)
+        hits, near = _once(ranking.rrf(*legs))
         facts = chunks.select("chunk_id", "source_id", "text", "token_count")
-        hits = hits.join(facts, "chunk_id").join(asked.select("query_id", F.col("text").alias("query_text"), wanted.alias("top_k")), "query_id")
+        hits = near(hits).join(facts, "chunk_id").join(asked.select("query_id", F.col("text").alias("query_text"), wanted.alias("top_k")), "query_id")
         if self.reranker is not None:
             hits = ranking.rerank(hits, self.reranker, s.rerank_window)
         else:
             hits = hits.withColumn("rerank_score", F.lit(None).cast("double")).withColumn("rerank_failed", F.lit(False))
-        hits = ranking.trim(ranking.mmr(ranking.collapse_duplicates(hits, s.duplicate_threshold), s.trade_off), s.top_k)
-        around = context.neighbors(hits, chunks, s.hops).join(chunks.select(F.col("chunk_id").alias("neighbor_id"), "token_count"), "neighbor_id")
-        packed = context.pack(hits, around, s.token_budget, s.overhead, s.context_per_hit)
-        evidence = context.with_snippets(packed, chunks, asked, self._table("sources"), s.snippet_chars)
+        hits, near = _once(ranking.trim(ranking.mmr(ranking.collapse_duplicates(hits, s.duplicate_threshold), s.trade_off), s.top_k))
+        around = near(context.neighbors(hits, chunks, s.hops, near)).join(chunks.select(F.col("chunk_id").alias("neighbor_id"), "token_count"), "neighbor_id")
+        packed, near = _once(context.pack(hits, around, s.token_budget, s.overhead, s.context_per_hit))
+        evidence = context.with_snippets(near(packed), chunks, asked, self._table("sources"), s.snippet_chars)
         return SearchResult(hits, evidence, context.budget_summary(hits, packed, s.token_budget, s.overhead))
 
     def _legs(self, asked: DataFrame, chunks: DataFrame, s: SearchSettings, filters: ranking.FilterSpec | None) -> tuple[DataFrame, DataFrame]:
